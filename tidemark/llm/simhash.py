@@ -106,7 +106,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     # owner rows stay in their own tile's share; every row also visits each share of the tiles that it may match
     steps = F.explode(F.array(*[F.lit(_plain_tile(d)) for d in _offsets(radius)]))
     own = tiles.join(F.broadcast(shares), "tile").select(F.col("tile").alias("at"), F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int").alias("share"), F.lit(0).alias("visits"), "id", "fp")
-    visits = tiles.select("id", "fp", (F.col("tile") - steps).alias("at")).join(F.broadcast(shares.withColumnRenamed("tile", "at")), "at").select("at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(1).alias("visits"), "id", "fp")
+    visits = tiles.select("id", "fp", "tile", steps.alias("step")).select("id", "fp", (F.col("tile") - F.col("step")).alias("at")).join(F.broadcast(shares.withColumnRenamed("tile", "at")), "at").select("at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(1).alias("visits"), "id", "fp")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own_fp, own_id = None, [], []
