@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, quality, simhash
+from tidemark.llm import embed_dups, mixing, packing, quality, simhash, warc
 from tidemark.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,18 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.simhash_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op3_mix_sources, op4_pack, op7_simhash)}
+def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dups.embedding_classes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op3_mix_sources, op4_pack, op5_warc_revisits, op7_simhash, op9_embedding_dups)}
 ORACLES: dict[str, str] = {}
