@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embed_dups, mixing, packing, quality, simhash, warc
+from tidemark.llm import embed_dups, htmltext, mixing, packing, quality, simhash, warc
 from tidemark.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_report(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -38,5 +42,5 @@ def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dups.embedding_classes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op3_mix_sources, op4_pack, op5_warc_revisits, op7_simhash, op9_embedding_dups)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op2_main_text, op3_mix_sources, op4_pack, op5_warc_revisits, op7_simhash, op9_embedding_dups)}
 ORACLES: dict[str, str] = {}
