@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embed_dups, htmltext, mixing, packing, quality, simhash, warc
+from tidemark.llm import embed_dups, htmltext, licenses, mixing, packing, pii, quality, simhash, warc
 from tidemark.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +39,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _of_kind(kind: int, span: Column) -> Column:
+    return span["kind"] == kind
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.spans_of(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", partial(_of_kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined(F.concat("base", "found")).alias("spans"))
+
+
 def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dups.embedding_classes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op2_main_text, op3_mix_sources, op4_pack, op5_warc_revisits, op7_simhash, op9_embedding_dups)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op2_main_text, op3_mix_sources, op4_pack, op5_warc_revisits, op7_simhash, op8_pii, op9_embedding_dups, op10_license_scan)}
 ORACLES: dict[str, str] = {}
