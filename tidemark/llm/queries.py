@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embed_dups, htmltext, licenses, mixing, packing, pii, quality, simhash, warc
+from tidemark.llm import embed_dups, htmltext, licenses, mixing, packing, passages, pii, quality, simhash, warc
 from tidemark.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicate(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.simhash_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -57,5 +61,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op2_main_text, op3_mix_sources, op4_pack, op5_warc_revisits, op7_simhash, op8_pii, op9_embedding_dups, op10_license_scan)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op2_main_text, op3_mix_sources, op4_pack, op5_warc_revisits, op6_shared_passages, op7_simhash, op8_pii, op9_embedding_dups, op10_license_scan)}
 ORACLES: dict[str, str] = {}
