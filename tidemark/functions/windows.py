@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-EPS = 1e-9
+EPS = 1e-12
 
 
 def by_ticker() -> WindowSpec:

@@ -19,7 +19,7 @@ def price_features(bars: DataFrame) -> DataFrame:
 def cross_section(rows: DataFrame, x: str = "ret_5d") -> DataFrame:
     """Per date: percent rank, z-score, market and sector means, excess returns, breadth and the 1-10 score."""
     day, group, v = Window.partitionBy("date"), Window.partitionBy("date", "sector"), F.col(x)
-    out = rows.withColumns({"xs_rank": percent_rank(v, "date"), "xs_z": (v - F.avg(v).over(day)) / (F.stddev_samp(v).over(day) + EPS), "market_ret": F.avg(v).over(day), "sector_ret": F.avg(v).over(group), "market_breadth": F.avg(F.when(v.isNotNull(), (v > 0).cast("double"))).over(day)})
+    out = rows.withColumns({"xs_rank": percent_rank(v, "date"), "xs_z": (v - F.avg(v).over(day)) / (F.stddev_samp(v).over(day) + EPS), "market_ret": F.avg(v).over(day), "sector_ret": F.avg(v).over(group), "market_breadth": F.avg(F.when(v > 0, 1.0).otherwise(0.0)).over(day)})
     out = out.withColumns({"excess_ret": v - F.col("market_ret"), "vs_sector_ret": v - F.col("sector_ret"), "sector_rank": percent_rank(v, "date", "sector")})
     return out.withColumn("score", F.when(F.col("xs_rank").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), F.ceil(F.col("xs_rank") * 10)))).cast("int"))
 

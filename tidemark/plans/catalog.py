@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import change
-from tidemark.operators import panel
+from tidemark.functions.windows import EPS, change
+from tidemark.operators import panel, trend
+from tidemark.plans import trend as trend_sql
+from tidemark.plans.rounding import roll_sql as _roll
+from tidemark.plans.rounding import round_sql as _round
+from tidemark.plans.rounding import rounded
 from tidemark.sources.bars import BARS_SQL, daily_bars
 from tidemark.streaming.bars import event_bars
 
@@ -16,10 +20,6 @@ FEATURES = tuple("ret_1d ret_2d ret_3d ret_5d ret_10d ret_20d ret_60d log_ret_1d
 KEYS = ("ticker", "date")
 
 
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
-
-
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(spark, sf_dir).withColumns({"ret_1d": change(F.col("close"), 1), "ret_5d": change(F.col("close"), 5), "fwd_3d": panel.forward_return(3)})
 
@@ -100,7 +100,33 @@ def daily_event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.withColumn("start", F.to_date("start")), "open", "high", "low", "close")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (top_ranked_latest, daily_bar_table, price_feature_panel, cross_section_panel, quality_report, forward_classes, class_histogram, expiry_calendar, up_runs, labelled_periods, winsorised_returns, daily_rank_ic, score_bucket_table, long_short, daily_event_bars)}
+def oscillator_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(trend.oscillators(daily_bars(spark, sf_dir)), *trend.OSCILLATORS)
+
+
+def microstructure_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap over the day's range is shown for days that have a range."""
+    rows = trend.microstructure(daily_bars(spark, sf_dir)).withColumn("gap_vs_range", F.when(F.col("high") > F.col("low"), F.col("gap_vs_range")))
+    return rounded(rows.select(*KEYS, *trend_sql.MICRO), *trend_sql.MICRO)
+
+
+def beta_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(trend.market_beta(returns(spark, sf_dir)).select(*KEYS, *trend_sql.BETA), *trend_sql.BETA)
+
+
+def tail_label_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend.tail_labels(returns(spark, sf_dir), "fwd_3d").select(*KEYS, "label")
+
+
+def rank_ic_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(trend.newey_west(daily_rank_ic(spark, sf_dir), "ic"), "mean", "t")
+
+
+def top_decile_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(trend.period_book(panel.cross_section(returns(spark, sf_dir)), "fwd_3d").select("date", *trend_sql.BOOK), *trend_sql.BOOK)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (top_ranked_latest, daily_bar_table, price_feature_panel, cross_section_panel, quality_report, forward_classes, class_histogram, expiry_calendar, up_runs, labelled_periods, winsorised_returns, daily_rank_ic, score_bucket_table, long_short, daily_event_bars, oscillator_panel, microstructure_panel, beta_panel, tail_label_panel, rank_ic_significance, top_decile_book)}
 
 _T = "(PARTITION BY ticker ORDER BY date)"
 _RETURNS = f"""WITH {BARS_SQL}, r AS (SELECT *, close / lag(close, 1) OVER t - 1 AS ret_1d, close / lag(close, 5) OVER t - 1 AS ret_5d,
@@ -111,29 +137,20 @@ def _prank(x: str, keys: str, rows: str = "") -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {keys} ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {keys}) END"
 
 
-def _roll(how: str, x: str, n: int, least: int | None = None) -> str:
-    w = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN count({x}) {w} >= {least or n} THEN {how}({x}) {w} END"
-
-
-def _round(names: tuple[str, ...], digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
-
-
-_XS = f"""{_RETURNS}, x AS (SELECT *, {_prank('ret_5d', 'date')} AS xs_rank, (ret_5d - avg(ret_5d) OVER d) / (stddev_samp(ret_5d) OVER d + 1e-9) AS xs_z,
-  avg(ret_5d) OVER d AS market_ret, avg(ret_5d) OVER g AS sector_ret, avg(CASE WHEN ret_5d IS NOT NULL THEN CAST(ret_5d > 0 AS INT) END) OVER d AS market_breadth,
+_XS = f"""{_RETURNS}, x AS (SELECT *, {_prank('ret_5d', 'date')} AS xs_rank, (ret_5d - avg(ret_5d) OVER d) / (stddev_samp(ret_5d) OVER d + {EPS}) AS xs_z,
+  avg(ret_5d) OVER d AS market_ret, avg(ret_5d) OVER g AS sector_ret, avg(CASE WHEN ret_5d > 0 THEN 1 ELSE 0 END) OVER d AS market_breadth,
   {_prank('ret_5d', 'date, sector')} AS sector_rank, ret_5d - avg(ret_5d) OVER d AS excess_ret, ret_5d - avg(ret_5d) OVER g AS vs_sector_ret
   FROM r WINDOW d AS (PARTITION BY date), g AS (PARTITION BY date, sector)), s AS (SELECT *, CASE WHEN xs_rank IS NOT NULL THEN CAST(greatest(1, least(10, ceil(xs_rank * 10))) AS INT) END AS score FROM x)"""
 _CLASS = "CASE WHEN fwd_3d > 0.03 THEN 4 WHEN fwd_3d > 0.01 THEN 3 WHEN fwd_3d >= -0.01 THEN 2 WHEN fwd_3d >= -0.03 THEN 1 WHEN fwd_3d < -0.03 THEN 0 END"
 _LAGS = ", ".join(f"close / lag(close, {n}) OVER {_T} - 1 AS ret_{n}d" for n in (1, 2, 3, 5, 10, 20, 60))
 _SMAS = ", ".join(f"{_roll('avg', 'close', n)} AS sma_{n}" for n in (5, 20, 50, 200))
-_FEATURES = f"""WITH {BARS_SQL}, a AS (SELECT *, {_LAGS}, ln(close / lag(close) OVER {_T}) AS log_ret_1d, lag(close, 21) OVER {_T} / (lag(close, 252) OVER {_T} + 1e-9) - 1 AS momentum_12_1, {_SMAS},
+_FEATURES = f"""WITH {BARS_SQL}, a AS (SELECT *, {_LAGS}, ln(close / lag(close) OVER {_T}) AS log_ret_1d, lag(close, 21) OVER {_T} / (lag(close, 252) OVER {_T} + {EPS}) - 1 AS momentum_12_1, {_SMAS},
   {_roll('stddev_samp', 'close', 20)} AS sd_20, {_roll('max', 'high', 252, 60)} AS hi, {_roll('min', 'low', 252, 60)} AS lo, {_roll('avg', 'volume', 5)} AS v5, {_roll('avg', 'volume', 20)} AS v20, {_roll('stddev_samp', 'volume', 20)} AS vs,
-  power(ln((high + 1e-9) / (low + 1e-9)), 2) AS range2 FROM bars),
-b AS (SELECT *, abs(ret_1d) / (close * volume + 1e-9) AS ill, {', '.join(f"{_roll('stddev_samp', 'log_ret_1d', n)} AS vol_{n}d" for n in (5, 20, 60))}, sqrt({_roll('avg', 'range2', 20)} / (4 * ln(2.0))) AS parkinson_vol_20 FROM a),
-c AS (SELECT *, {_roll('avg', 'ill', 20)} * 1e9 AS amihud_illiq, volume / (v20 + 1e-9) AS volume_ratio_20, -ret_1d AS reversal_1d, -ret_5d AS reversal_5d, vol_5d / (vol_20d + 1e-9) AS vol_ratio_5_20, vol_20d / (vol_60d + 1e-9) AS vol_ratio_20_60,
-  {', '.join(f'close / (sma_{n} + 1e-9) - 1 AS px_to_sma_{n}' for n in (5, 20, 50, 200))}, sma_5 / (sma_20 + 1e-9) - 1 AS sma_5_20_cross, (close - sma_20) / (sd_20 + 1e-9) AS bollinger_z, close / (hi + 1e-9) - 1 AS pct_from_52w_high,
-  close / (lo + 1e-9) - 1 AS pct_from_52w_low, (close - lo) / (hi - lo + 1e-9) AS range_position_52w, (volume - v20) / (vs + 1e-9) AS volume_zscore_20, v5 / (v20 + 1e-9) - 1 AS volume_trend_5_20 FROM b)
+  power(ln((high + {EPS}) / (low + {EPS})), 2) AS range2 FROM bars),
+b AS (SELECT *, abs(ret_1d) / (close * volume + {EPS}) AS ill, {', '.join(f"{_roll('stddev_samp', 'log_ret_1d', n)} AS vol_{n}d" for n in (5, 20, 60))}, sqrt({_roll('avg', 'range2', 20)} / (4 * ln(2.0))) AS parkinson_vol_20 FROM a),
+c AS (SELECT *, {_roll('avg', 'ill', 20)} * 1e9 AS amihud_illiq, volume / (v20 + {EPS}) AS volume_ratio_20, -ret_1d AS reversal_1d, -ret_5d AS reversal_5d, vol_5d / (vol_20d + {EPS}) AS vol_ratio_5_20, vol_20d / (vol_60d + {EPS}) AS vol_ratio_20_60,
+  {', '.join(f'close / (sma_{n} + {EPS}) - 1 AS px_to_sma_{n}' for n in (5, 20, 50, 200))}, sma_5 / (sma_20 + {EPS}) - 1 AS sma_5_20_cross, (close - sma_20) / (sd_20 + {EPS}) AS bollinger_z, close / (hi + {EPS}) - 1 AS pct_from_52w_high,
+  close / (lo + {EPS}) - 1 AS pct_from_52w_low, (close - lo) / (hi - lo + {EPS}) AS range_position_52w, (volume - v20) / (vs + {EPS}) AS volume_zscore_20, v5 / (v20 + {EPS}) - 1 AS volume_trend_5_20 FROM b)
 SELECT ticker, date, {_round(FEATURES)} FROM c"""
 _LAST_THURSDAY = "CAST(last_day({d}) - CAST((isodow(last_day({d})) + 3) % 7 AS INT) AS DATE)"
 
@@ -156,3 +173,11 @@ SELECT ticker, date, CAST(isodow(date) - 1 AS INT) AS day_of_week, CAST(day(date
     "long_short": f"{_XS} SELECT date, round(avg(CASE WHEN xs_rank >= 0.9 THEN fwd_3d END) - avg(CASE WHEN xs_rank <= 0.1 THEN fwd_3d END), 6) + 0.0 AS long_short FROM s GROUP BY date",
     "daily_event_bars": "SELECT event_type, CAST(ts AS DATE) AS start, round(first(value ORDER BY ts, event_id), 6) + 0.0 AS open, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(last(value ORDER BY ts, event_id), 6) + 0.0 AS close, count(*) AS n FROM events GROUP BY ALL",
 }
+ORACLES |= {
+    "oscillator_panel": trend_sql.OSCILLATOR_SQL,
+    "microstructure_panel": trend_sql.MICRO_SQL,
+    "beta_panel": trend_sql.beta_sql(_RETURNS),
+    "tail_label_panel": trend_sql.tails_sql(_RETURNS),
+    "rank_ic_significance": trend_sql.newey_west_sql(ORACLES["daily_rank_ic"]),
+    "top_decile_book": trend_sql.book_sql(_XS),
+}
