@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, pii, quality, simhash
+from tidemark.llm import mixing, near_copies, packing, pii, quality
 from tidemark.llm.staging import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
-    return simhash.simhash_dedup(docs)
+    """One document of each class of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return near_copies.near_dedup(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

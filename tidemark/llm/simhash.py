@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -71,6 +71,20 @@ def _tile(counts: list) -> F.Column:
     return key
 
 
+def thinned(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A few links per id that connect just the ids which the pairs of ``near`` connect."""
+    root = np.arange(len(a_id))
+    while True:  # the smallest row reachable within this block
+        col = np.where(near, root[:, None], len(a_id)).min(axis=0)
+        new = np.minimum(root, np.where(near, col[None, :], len(a_id)).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    hit, hit_a = col < len(a_id), near.any(axis=1)
+    yield b_id[hit], a_id[col[hit]]
+    yield a_id[hit_a], a_id[root[hit_a]]
+
+
 def _spanning(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_id: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between the two sets, thinned to a few per fingerprint without losing who is connected to whom."""
     for i in range(0, len(own), 512):
@@ -80,16 +94,7 @@ def _spanning(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_id:
             near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
             if not near.any():
                 continue
-            root = np.arange(len(a))
-            while True:  # the smallest row reachable within this block
-                col = np.where(near, root[:, None], len(a)).min(axis=0)
-                new = np.minimum(root, np.where(near, col[None, :], len(a)).min(axis=1))
-                if (new == root).all():
-                    break
-                root = new
-            hit, hit_a = col < len(a), near.any(axis=1)
-            yield b_id[hit], a_id[col[hit]]
-            yield a_id[hit_a], a_id[root[hit_a]]
+            yield from thinned(near, a_id, b_id)
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -153,11 +158,15 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     null component; other nulls are passed over in the minimum. Repeated rows come back as often as they came.
     """
     prints = staged(fingerprints(docs), "prints")
+    return classes_of(prints, lambda vertices: near_links(vertices, radius))
+
+
+def classes_of(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``prints(doc_id, fp)``, given the links of ``vertices(id, fp)``."""
     # a vertex is named by its smallest doc_id; a fingerprint whose ids are all null takes part under a name of its own
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     vertices = distinct.withColumn("id", F.col("fp"))
-    links = near_links(vertices.select("id", "fp"), radius)
-    linked = components(links)
+    linked = components(links_of(vertices.select("id", "fp")))
     member = vertices.join(linked.withColumnRenamed("node", "id"), "id", "left").select("fp", "first", F.coalesce("component", "id").alias("component"))
     member = staged(member, "member")
     least = staged(member.groupBy("component").agg(F.min("first").alias("component_id")), "least")
@@ -171,7 +180,11 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows that repeat the smallest doc_id of a class count as one document; the one with the smallest text hash stays.
     Classes whose ids are all null stay whole.
     """
-    classes = simhash_classes(docs, radius)
+    return one_of_each(docs, simhash_classes(docs, radius))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, given ``classes(doc_id, fp, component_id)``."""
     keep = staged(classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
     named = docs.withColumn("__doc", F.col("doc_id").cast("long"))
     kept = named.join(keep.withColumnRenamed("doc_id", "__doc"), "__doc", "left_semi")
