@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.staging import batches, staged
+from tidemark.llm.staging import SPACES, batches, staged
 
 KINDS = ("email", "ip", "card", "phone")
 # The fixed forms; a run is only tried from its first character or from where the last match ended, which finds the
@@ -122,19 +122,26 @@ def occurrences(text: str, b: Bootstrap) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def followers(text: str, sieve: np.ndarray, b: Bootstrap) -> dict[int, int]:
-    """How often each pattern of the sieve stands before another word."""
+def followers(text: str, sieve: np.ndarray, b: Bootstrap) -> set[tuple[int, int]]:
+    """``(pattern, word)`` of each pattern of the sieve and each word behind it."""
     words = [m.group() for m in _WORD.finditer(text)]
-    found: dict[int, int] = {}
+    found: set[tuple[int, int]] = set()
     plain = [_DIGIT.sub("0", w.lower()).strip(".,;:!?\"'()[]{}<>*#$%&|") for w in words]
     for i in range(b.context, len(plain)):
         key = _hash(" ".join(plain[i - b.context : i]))
         bit = key & ((1 << SIEVE_BITS) - 1)
         if sieve[bit >> 3] >> (bit & 7) & 1:
-            found[key] = found.get(key, 0) + 1
+            found.add((key, _hash(words[i])))
     return found
 
 
+def _word_at(text: str, start: int) -> int:
+    """The hash of the word that holds a place."""
+    while start and text[start - 1] not in SPACES:
+        start -= 1
+    return _hash(_WORD.match(text, start).group())
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -145,40 +152,42 @@ def confident_patterns(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame
     Seeds have score 1 for their kind. A pattern's confidence is the share of what follows it that is believed to be of
     the kind; an instance's belief is that of its best pattern. Both are scored in turn over the graph of distinct
     pattern-instance links, so copies of a text add nothing; instances that are believed induce patterns of their own.
-    Words that follow a pattern are counted over all texts.
+    Of other words that follow a pattern, over all texts, each distinct one counts once too.
     """
     def seen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            found: dict[tuple, int] = {}
+            found: set[tuple] = set()
             for text in batch.column(0).to_pylist():
-                for _, _, kind, pattern, instance in occurrences(text, b):
-                    found[pattern, instance, kind] = found.get((pattern, instance, kind), 0) + 1
-            columns = list(zip(*found, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(list(found.values()), pa.int64())], ["pattern", "instance", "kind", "n"])
+                found.update((pattern, instance, kind, _word_at(text, start)) for start, _, kind, pattern, instance in occurrences(text, b))
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["pattern", "instance", "kind", "word"])
 
     texts = _texts(docs)
-    links = staged(texts.mapInArrow(seen, "pattern long, instance long, kind int, n long").groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")), "links")
+    begun = staged(texts.mapInArrow(seen, "pattern long, instance long, kind int, word long").distinct(), "begun")
+    links = staged(begun.select("pattern", "instance", "kind").distinct(), "links")
     # only patterns before several distinct identifiers can reach the support
-    wide = staged(links.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("times")).where(F.col("instances") >= b.support), "wide")
+    wide = staged(links.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= b.support), "wide")
     bits = wide.select(F.col("pattern").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
     sieve = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
     np.bitwise_or.at(sieve, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            found: dict[int, int] = {}
+            found: set[tuple[int, int]] = set()
             for text in batch.column(0).to_pylist():
-                for key, n in followers(text, sieve, b).items():
-                    found[key] = found.get(key, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["pattern", "total"])
+                found |= followers(text, sieve, b)
+            columns = list(zip(*found, strict=True)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["pattern", "word"])
 
     none = "pattern long, kind int, confidence double"
     if not len(bits):
         return docs.sparkSession.createDataFrame([], none)
-    totals = texts.mapInArrow(counted, "pattern long, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
-    # what follows beside identifiers counts each time, identifiers once each
-    size = F.col("instances") + F.greatest(F.lit(0), F.col("total") - F.col("times"))
-    patterns = staged(wide.join(totals, "pattern").select("pattern", size.alias("size")), "patterns")
+    # words at which no identifier begins
+    others = texts.mapInArrow(counted, "pattern long, word long").distinct().join(begun.select("pattern", "word").distinct(), ["pattern", "word"], "left_anti")
+    totals = others.groupBy("pattern").agg(F.count("*").alias("total"))
+    size = F.col("instances") + F.coalesce("total", F.lit(0))
+    patterns = staged(wide.join(totals, "pattern", "left").select("pattern", size.alias("size")), "patterns")
     graph = staged(links.join(patterns, "pattern", "left_semi").select("pattern", "instance", "kind"), "graph")
     seeds = graph.where("kind >= 0").select("pattern", "instance", "kind", F.lit(1.0).alias("belief"))
     others = graph.where("kind < 0").select("pattern", "instance")
