@@ -27,6 +27,15 @@ _CANDIDATE = regex.compile(r"[^\s<>\[\]{}\"',;:!?|]*+")
 _WORD = regex.compile(r"[^\x20\x09-\x0D]++")
 _DIGIT = regex.compile("[0-9]")
 _GROUP = regex.compile(r"\(?[0-9][0-9().-]*+")
+#: Addresses in other notations: what stands for the at sign, the part behind it, and four groups of digits.
+_AT = regex.compile(r"[\[({<\x20\t][\x20\t]?(?:at|At|AT|@)[\x20\t]?[\])}>\x20\t]|(?<=[A-Za-z0-9])@(?=[A-Za-z0-9])|[\x20\t]@|@[\x20\t]")
+_DOMAIN = regex.compile(r"[\x20\t]*+([A-Za-z0-9-]++(?:(?:[\x20\t]*+[\[({<][\x20\t]*+(?:dot|Dot|DOT|\.)[\x20\t]*+[\])}>][\x20\t]*+|[\x20\t](?:dot|Dot|DOT)[\x20\t]|\.)[A-Za-z0-9-]++)*+)")
+_QUAD = regex.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}+(?:(?:[\x20\t]?[\[({][\x20\t]?(?:dot|\.)[\x20\t]?[\])}][\x20\t]?|[\x20\t]dot[\x20\t]|[\x20\t]?[.-][\x20\t]?)[0-9]{1,3}+){3}(?![0-9A-Za-z])")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: An identifier that patterns of every kind may propose; ``shape(kind)`` is one for patterns of that kind only.
+ANY = -1
+#: Longer runs are cut into parts of this many characters at most.
+LONGEST = 64
 SPANS = "array<struct<kind:int,start:int,stop:int>>"
 
 
@@ -34,7 +43,7 @@ SPANS = "array<struct<kind:int,start:int,stop:int>>"
 class Bootstrap:
     """``context`` words before an entity are its pattern. A pattern speaks for a kind if at least ``support`` distinct
     entities of that kind follow it and they are at least ``confidence`` of all that follows it. ``digits`` is the
-    least number of digits of an identifier; ``rounds`` of scoring run over the graph."""
+    least number of digits of an identifier that isn't an address in another notation; ``rounds`` of scoring run over the graph."""
 
     context: int = 2
     support: int = 3
@@ -82,9 +91,43 @@ def _key(words: list[str]) -> int:
     return _hash(" ".join(_DIGIT.sub("0", w.lower()).strip(".,;:!?\"'()[]{}<>*#$%&|") for w in words))
 
 
+def shape(kind: int) -> int:
+    return ANY - 1 - kind
+
+
+def fits(code, kind):
+    """Whether a pattern of ``kind`` may propose a candidate of this code; for numbers and for columns."""
+    return (code == ANY) | (code == ANY - 1 - kind)
+
+
+def addresses(text: str) -> list[tuple[int, int, int]]:
+    """``(start, stop, code)`` of e-mail and IP addresses in other notations, which need no number of digits."""
+    out, done = [], 0
+    for m in _AT.finditer(text):
+        stop = m.start()
+        while stop and text[stop - 1] in " \t[({<":
+            stop -= 1
+        start = stop
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        d = _DOMAIN.match(text, m.end())
+        if start == stop or not d:
+            continue
+        # a plain "at" needs a dot on one of its sides, or it is prose
+        plain = m.group().strip().isalpha()
+        name, domain = text[start:stop].strip("."), d.group(1)
+        if plain and "." not in name and not regex.search(r"\.|[\s\[({<](?:dot|Dot|DOT)[\s\])}>]", domain):
+            continue
+        out.append((start, d.end(), shape(0)))
+        done = d.end()
+    out += [(m.start(), m.end(), shape(1)) for m in _QUAD.finditer(text) if all(int(x) <= 255 for x in regex.findall("[0-9]+", m.group()))]
+    return out
+
+
 def occurrences(text: str, b: Bootstrap) -> list[tuple[int, int, int, int, int]]:
-    """``(start, stop, kind or -1, pattern, instance)`` of all seeds and of all that may be an identifier beside them."""
-    if not _DIGIT.search(text) and "@" not in text:
+    """``(start, stop, kind or code, pattern, instance)`` of all seeds and of all that may be an identifier beside them."""
+    others = addresses(text)
+    if not others and not _DIGIT.search(text) and "@" not in text:
         return []
     seeds, out = base_spans(text), []
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
@@ -100,6 +143,9 @@ def occurrences(text: str, b: Bootstrap) -> list[tuple[int, int, int, int, int]]
     for start, kind, stop in seeds:
         entry(start, stop, kind)
     taken, at = [(s, e) for s, _, e in seeds], 0
+    for start, stop, code in others:
+        if not any(x < stop and start < y for x, y in taken):
+            entry(start, stop, code)
     last = -1
     for s, e in words:
         if s < last or not _DIGIT.search(text, s, e):
@@ -111,14 +157,16 @@ def occurrences(text: str, b: Bootstrap) -> list[tuple[int, int, int, int, int]]
             lead += 1
         m = _CANDIDATE.match(text, lead, e)
         start, stop = lead, m.end()
-        while stop < len(text) and text[stop] == " " and stop == m.end() and (g := _GROUP.match(text, stop + 1)) and (g.end() == len(text) or text[g.end()] in " \t\n\r\v\f.,;:!?"):
+        while stop < len(text) and text[stop] == " " and stop == m.end() and (g := _GROUP.match(text, stop + 1)) and g.end() - start <= LONGEST and (g.end() == len(text) or text[g.end()] in " \t\n\r\v\f.,;:!?"):
             m, stop = g, g.end()
         while stop > start and not text[stop - 1].isalnum():
             stop -= 1
         last = stop
-        if sum(c in "0123456789" for c in text[start:stop]) < b.digits or stop - start > 64 or any(x < stop and start < y for x, y in taken[max(0, at - 1) : at + 4]):
-            continue
-        entry(start, stop, -1)
+        for part in range(start, stop, LONGEST):
+            end = min(part + LONGEST, stop)
+            if sum(c in "0123456789" for c in text[part:end]) < b.digits or any(x < end and part < y for x, y in taken[max(0, at - 1) : at + 4]):
+                continue
+            entry(part, end, ANY)
     return out
 
 
@@ -190,15 +238,15 @@ def confident_patterns(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame
     patterns = staged(wide.join(totals, "pattern", "left").select("pattern", size.alias("size")), "patterns")
     graph = staged(links.join(patterns, "pattern", "left_semi").select("pattern", "instance", "kind"), "graph")
     seeds = graph.where("kind >= 0").select("pattern", "instance", "kind", F.lit(1.0).alias("belief"))
-    others = graph.where("kind < 0").select("pattern", "instance")
+    others = graph.where("kind < 0").select("pattern", "instance", F.col("kind").alias("code"))
     scored = seeds
     good = None
     for _ in range(b.rounds):
         strength = scored.groupBy("pattern", "kind").agg(F.sum("belief").alias("strength"), F.count("*").alias("instances"))
         rated = strength.join(patterns, "pattern").select("pattern", "kind", (F.col("strength") / F.col("size")).alias("confidence"), "instances")
         good = staged(rated.where((F.col("confidence") >= b.confidence) & (F.col("instances") >= b.support)).select("pattern", "kind", "confidence"), "good")
-        belief = others.join(good, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
-        scored = seeds.unionByName(others.join(belief, "instance").select("pattern", "instance", "kind", "belief"))
+        belief = others.join(good, "pattern").where(fits(F.col("code"), F.col("kind"))).groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
+        scored = seeds.unionByName(others.join(belief, "instance").where(fits(F.col("code"), F.col("kind"))).select("pattern", "instance", "kind", "belief"))
     # a pattern speaks for one kind
     best = good.groupBy("pattern").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
     return staged(best.select("pattern", (-F.col("best.k")).cast("int").alias("kind"), F.col("best.confidence").alias("confidence")), "best")
@@ -213,19 +261,19 @@ def spans_of(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
     patterns = confident_patterns(docs, b)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-    open_kind = pa.struct([("pattern", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    open_kind = pa.struct([("pattern", pa.int64()), ("code", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batches_in):
             base, other = [], []
             for text in batch.column(2).to_pylist():
                 base.append([{"kind": k, "start": s, "stop": e} for s, k, e in base_spans(text)])
-                other.append([{"pattern": p, "start": s, "stop": e} for s, e, k, p, _ in occurrences(text, b) if k < 0])
+                other.append([{"pattern": p, "code": k, "start": s, "stop": e} for s, e, k, p, _ in occurrences(text, b) if k < 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(other, pa.list_(open_kind))], ["row", "doc_id", "base", "other"])
 
-    found = staged(rows.mapInArrow(run, f"row long, doc_id long, base {SPANS}, other array<struct<pattern:bigint,start:int,stop:int>>"), "spans")
-    named = found.select("row", F.explode("other").alias("o")).select("row", F.col("o.pattern").alias("pattern"), F.col("o.start").alias("start"), F.col("o.stop").alias("stop"))
-    added = named.join(patterns, "pattern").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("found"))  # within a document
+    found = staged(rows.mapInArrow(run, f"row long, doc_id long, base {SPANS}, other array<struct<pattern:bigint,code:int,start:int,stop:int>>"), "spans")
+    named = found.select("row", F.explode("other").alias("o")).select("row", F.col("o.pattern").alias("pattern"), F.col("o.code").alias("code"), F.col("o.start").alias("start"), F.col("o.stop").alias("stop"))
+    added = named.join(patterns, "pattern").where(fits(F.col("code"), F.col("kind"))).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("found"))  # within a document
     return found.join(added, "row", "left").select("doc_id", "row", "base", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
@@ -252,7 +300,7 @@ def redacted(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            texts = [_masked(t, base_spans(t) + [(s, kinds[p], e) for s, e, k, p, _ in occurrences(t, b) if k < 0 and p in kinds] if kinds else base_spans(t)) if t else t for t in batch.column(at).to_pylist()]
+            texts = [_masked(t, base_spans(t) + [(s, kinds[p], e) for s, e, k, p, _ in occurrences(t, b) if k < 0 and p in kinds and fits(k, kinds[p])] if kinds else base_spans(t)) if t else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return _counted(docs.mapInArrow(run, schema))
