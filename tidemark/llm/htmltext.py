@@ -35,13 +35,13 @@ _QUIET = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Lines(HTMLParser):
     """Turns parser events into lines: the text between two block boundaries, with the tags met inside it.
 
-    ``lines`` holds ``(text, characters in links, tags, ancestors, aside)``. Unclosed and misplaced tags are forgiven:
+    ``lines`` holds ``(text, characters in links, tags, ancestors, ancestors that mark an aside)``. Unclosed and misplaced tags are forgiven:
     an end tag closes back to its start unless a container lies between.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, hidden, aside
         self.names: dict[int, str] = {}
         self.main: dict[int, int | None] = {}  # article and main elements, with the one around each
@@ -51,8 +51,8 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            hidden_aside = any(x[3] for x in self.open)
-            self.lines.append((text, self.linked, self.tags, tuple(x[1] for x in self.open if x[0] in SCOPES), hidden_aside))
+            asides = tuple(x[1] for x in self.open if x[3])
+            self.lines.append((text, self.linked, self.tags, tuple(x[1] for x in self.open if x[0] in SCOPES), asides))
         self.parts, self.linked = [], 0
         self.tags = 0
 
@@ -86,7 +86,7 @@ class Lines(HTMLParser):
         main = tag in ("article", "main") or values.get("role") == "main" or values.get("itemprop") == "articlebody" or not ARTICLE.isdisjoint(marks.split())
         hidden = tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true" or bool(_QUIET.search(values.get("style", "")))
         aside = tag in FRAMES or (not ASIDE.isdisjoint(_TOKEN.findall(marks)) and tag not in ("html", "body") and not (main and tag == "main"))
-        if main and not aside:
+        if main:
             self.main[self.number] = next((x[1] for x in reversed(self.open) if x[1] in self.main), None)
         if tag in SCOPES:
             self.names[self.number] = tag
@@ -145,10 +145,32 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
+def _content(lines: list[tuple], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Characters outside links, and whether the smoothed text-to-tag ratio is in the upper cluster."""
+    chars = np.array([len(t) - min(len(t), linked) for t, linked, *_ in lines], float)
+    ratios = chars / np.maximum(1, [tags for _, _, tags, *_ in lines])
+    flat = smoothed(ratios, sigma)
+    return chars, flat >= threshold(flat)
+
+
+def _wrappers(lines: list[tuple], sigma: float) -> set[int]:
+    """Elements marked as aside that hold nearly all (0.8) of the page's text in the upper cluster: they wrap the article."""
+    if not any(x[4] for x in lines):
+        return set()
+    chars, content = _content(lines, sigma)
+    weight: dict[int, float] = {}
+    for x, c in zip(lines, np.where(content, chars, 0.0).tolist(), strict=True):
+        for element in x[4]:
+            weight[element] = weight.get(element, 0.0) + c
+    total = float(chars[content].sum())
+    return {e for e, w in weight.items() if w >= 0.8 * total > 0}
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Blocks of the article, one per line; empty if there are none.
 
-    Lines of menus, frames, forms, notices, adverts and comments are set aside by their elements. The text-to-tag
+    Lines of menus, frames, forms, notices, adverts and comments are set aside by their elements, unless
+    such an element holds nearly all of the page's text. The text-to-tag
     ratios of the others are smoothed and split in two clusters; the region is the article or main element with most
     text in the upper cluster, or, without such elements, the smallest one that holds nearly all of that text. All
     lines of the region stay, short ones too.
@@ -156,13 +178,11 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser = Lines()
     parser.feed(html or "")
     parser.close()
-    lines = [x for x in parser.lines if not x[4]]
+    wraps = _wrappers(parser.lines, sigma)
+    lines = [x for x in parser.lines if wraps.issuperset(x[4])]
     if not lines:
         return ""
-    chars = np.array([len(t) - min(len(t), linked) for t, linked, *_ in lines], float)
-    ratios = chars / np.maximum(1, [tags for _, _, tags, *_ in lines])
-    flat = smoothed(ratios, sigma)
-    content = flat >= threshold(flat)
+    chars, content = _content(lines, sigma)
     weight: dict[int, float] = {}
     for (_, _, _, path, _), c, yes in zip(lines, chars, content, strict=True):
         if yes:
