@@ -59,9 +59,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def batches(rows: Iterator) -> Iterator:
-    """Arrow batches in slices of at most some 16 MB of strings, so that long texts don't pile up in Python."""
+def batches(rows: Iterator, most: int = 1 << 24) -> Iterator:
+    """Arrow batches in slices of some ``most`` bytes, so that long texts don't pile up in Python."""
     for batch in rows:
-        step = max(1, int(batch.num_rows * min(1.0, (1 << 24) / max(batch.nbytes, 1))))
+        step = max(1, int(batch.num_rows * min(1.0, most / max(batch.nbytes, 1))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
