@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +29,75 @@ ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist contentinfo cookie cookies consent complementary copyright discussion disclaimer disqus dropdown footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar tooltip widget".split()
 )
 ARTICLE = frozenset("articlebody article-body article_body post-content entry-content article-content story-body".split())
+#: Of these, words that also name parts of an article; as a part of a longer name they only count where the text is thin.
+WEAK = frozenset("ad ads banner byline disclaimer footer form header notice notification promo promotion related search share skip social tags widget".split())
 _TOKEN = re.compile(r"[a-z]+")
 _QUIET = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+class Open(NamedTuple):
+    """An open element, with the numbers of what it lies in, itself included; 0 where there is none."""
+
+    tag: str
+    number: int
+    hidden: bool
+    scope: int
+    aside: int
+    main: int
+
+
+class Line(NamedTuple):
+    """The text between two block boundaries, its characters in links, the tags met inside it, and where it lies."""
+
+    text: str
+    linked: int
+    tags: int
+    scope: int
+    aside: int
+
+
 class Lines(HTMLParser):
-    """Turns parser events into lines: the text between two block boundaries, with the tags met inside it.
+    """Turns parser events into lines. Unclosed and misplaced tags are forgiven: an end tag closes back to its start
+    unless a container lies between. Every event takes a bounded time, apart from elements that it closes.
 
-    ``lines`` holds ``(text, characters in links, tags, ancestors, ancestors that mark an aside)``. Unclosed and misplaced tags are forgiven:
-    an end tag closes back to its start unless a container lies between.
+    An element's number is larger than those of the elements around it; ``outer`` has the next container, aside or main
+    element around each of these, by kind.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, hidden, aside
-        self.names: dict[int, str] = {}
-        self.main: dict[int, int | None] = {}  # article and main elements, with the one around each
+        self.lines: list[Line] = []
+        self.open = [Open("", 0, False, 0, 0, 0)]
+        self.at: dict[str, list[int]] = {}  # places in ``open`` by tag
+        self.scopes = [0]  # places of containers
+        self.outer: dict[str, dict[int, int]] = {"scope": {}, "aside": {}, "main": {}}
+        self.weak: set[int] = set()  # asides whose mark is weak
         self.parts: list[str] = []
         self.tags = self.linked = self.number = 0
+        self.ending = False
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            asides = tuple(x[1] for x in self.open if x[3])
-            self.lines.append((text, self.linked, self.tags, tuple(x[1] for x in self.open if x[0] in SCOPES), asides))
-        self.parts, self.linked = [], 0
-        self.tags = 0
+            inner = self.open[-1]
+            self.lines.append(Line(text, self.linked, self.tags, inner.scope, inner.aside))
+        self.parts, self.linked, self.tags = [], 0, 0
+
+    def _pop(self, place: int) -> None:
+        while len(self.open) > place:
+            self.at[self.open.pop().tag].pop()
+            if self.scopes[-1] == len(self.open):
+                self.scopes.pop()
 
-    def _pop(self, at: int) -> None:
-        del self.open[at:]
+    def _last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
 
     def _close(self, names: set[str]) -> None:
         """Close an open element of these names, unless a container lies between."""
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in names:
-                self._pop(at)
-                return
-            if self.open[at][0] in SCOPES:
-                return
+        place = max(map(self._last, names))
+        if place > 0 and place >= self.scopes[-1]:
+            self._pop(place)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -81,16 +112,24 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         values = {k: (v or "").lower() for k, v in attrs}
-        marks = f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}"
-        self.number += 1
-        main = tag in ("article", "main") or values.get("role") == "main" or values.get("itemprop") == "articlebody" or not ARTICLE.isdisjoint(marks.split())
-        hidden = tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true" or bool(_QUIET.search(values.get("style", "")))
-        aside = tag in FRAMES or (not ASIDE.isdisjoint(_TOKEN.findall(marks)) and tag not in ("html", "body") and not (main and tag == "main"))
-        if main:
-            self.main[self.number] = next((x[1] for x in reversed(self.open) if x[1] in self.main), None)
+        names = f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}".split()
+        around, self.number = self.open[-1], self.number + 1
+        n = self.number
+        main = tag in ("article", "main") or values.get("role") == "main" or values.get("itemprop") == "articlebody" or not ARTICLE.isdisjoint(names)
+        hidden = around.hidden or tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true" or bool(_QUIET.search(values.get("style", "")))
+        marks = ASIDE.intersection(part for name in names for part in _TOKEN.findall(name)) if tag not in ("html", "body") and not (main and tag == "main") else set()
+        aside = tag in FRAMES or bool(marks)
+        if aside and tag not in FRAMES and marks <= WEAK and marks.isdisjoint(names):
+            self.weak.add(n)
+        for kind, yes, outer in (("scope", tag in SCOPES, around.scope), ("aside", aside, around.aside), ("main", main, around.main)):
+            if yes:
+                self.outer[kind][n] = outer
+        self.at.setdefault(tag, []).append(len(self.open))
         if tag in SCOPES:
-            self.names[self.number] = tag
-        self.open.append((tag, self.number, hidden or bool(self.open and self.open[-1][2]), aside))
+            self.scopes.append(len(self.open))
+        if main and tag not in SCOPES:
+            self.outer["scope"][n] = around.scope
+        self.open.append(Open(tag, n, hidden, n if tag in SCOPES or main else around.scope, n if aside else around.aside, n if main else around.main))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,26 +140,43 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
-            if self.open[at][0] in SCOPES and tag not in SCOPES:
-                return
+        place = self._last(tag)
+        if place > 0 and (tag in SCOPES or place >= self.scopes[-1]):
+            self._pop(place)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """Sections other than CDATA, which browsers take for comments, end at the next bracket."""
+        """Sections other than CDATA, which browsers take for comments, end at the next bracket; -1 waits for one."""
         end = self.rawdata.find(">", i + 3)
-        return end + 1
+        return end + 1 if end >= 0 else -1
+
+    def _rest(self, end: int) -> int:
+        """At the end of the page, markup that never closes takes all that is left, as in browsers."""
+        return len(self.rawdata) if end < 0 and self.ending else end
+
+    def parse_starttag(self, i: int) -> int:
+        return self._rest(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._rest(super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self._rest(super().parse_comment(i, report))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._rest(super().parse_html_declaration(i))
+
+    def parse_pi(self, i: int) -> int:
+        return self._rest(super().parse_pi(i))
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][2]:
+        if self.open[-1].hidden:
             return
         self.parts.append(data)
-        if any(x[0] == "a" for x in self.open[-6:]):
+        if self.at.get("a"):
             self.linked += len(data)
 
     def close(self) -> None:
+        self.ending = True
         super().close()
         self._end_line()
 
@@ -134,73 +190,102 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """The midpoint between the means of two clusters, refined from the overall mean until it rests."""
+    """The midpoint between the means of two clusters, refined from the overall mean until it rests.
+
+    Clusters whose means differ by less than a factor of 2 are one: then all values are above the threshold.
+    """
     cut = float(values.mean())
     for _ in range(50):
         low, high = values[values < cut], values[values >= cut]
-        new = (low.mean() + high.mean()) / 2 if len(low) and len(high) else cut
+        if not len(low) or not len(high):
+            return float(values.min())
+        new = float(low.mean() + high.mean()) / 2
         if abs(new - cut) < 1e-9:
             break
-        cut = float(new)
-    return cut
+        cut = new
+    return cut if high.mean() >= 2 * low.mean() else float(values.min())
 
 
-def _content(lines: list[tuple], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+def _content(lines: list[Line], sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Characters outside links, and whether the smoothed text-to-tag ratio is in the upper cluster."""
-    chars = np.array([len(t) - min(len(t), linked) for t, linked, *_ in lines], float)
-    ratios = chars / np.maximum(1, [tags for _, _, tags, *_ in lines])
-    flat = smoothed(ratios, sigma)
+    chars = np.array([len(x.text) - min(len(x.text), x.linked) for x in lines], float)
+    flat = smoothed(chars / np.maximum(1, [x.tags for x in lines]), sigma)
     return chars, flat >= threshold(flat)
 
 
-def _wrappers(lines: list[tuple], sigma: float) -> set[int]:
-    """Elements marked as aside that hold nearly all (0.8) of the page's text in the upper cluster: they wrap the article."""
-    if not any(x[4] for x in lines):
-        return set()
-    chars, content = _content(lines, sigma)
-    weight: dict[int, float] = {}
-    for x, c in zip(lines, np.where(content, chars, 0.0).tolist(), strict=True):
-        for element in x[4]:
-            weight[element] = weight.get(element, 0.0) + c
-    total = float(chars[content].sum())
-    return {e for e, w in weight.items() if w >= 0.8 * total > 0}
+def _weights(at: list[int], chars: np.ndarray, outer: dict[int, int]) -> dict[int, float]:
+    """Characters in each element, given those of each line and the element it lies in."""
+    weight = dict.fromkeys(outer, 0.0)
+    for element, c in zip(at, chars.tolist(), strict=True):
+        if element:
+            weight[element] += c
+    for element in sorted(outer, reverse=True):  # the inner ones first
+        if outer[element]:
+            weight[outer[element]] += weight[element]
+    return weight
+
+
+def _kept_asides(page: Lines, sigma: float) -> set[int]:
+    """Elements marked as aside that stay, as all marked ones around them do: those that hold nearly all (0.8) of the
+    page's text in the upper cluster wrap the article, and those of a weak mark stay where most of their text is in it.
+    """
+    outer = page.outer["aside"]
+    chars, content = _content(page.lines, sigma)
+    at = [x.aside for x in page.lines]
+    dense, all_chars = _weights(at, np.where(content, chars, 0.0), outer), _weights(at, np.array([len(x.text) for x in page.lines], float), outer)
+    total, kept = float(chars[content].sum()), {0}
+    for element in sorted(outer):  # the outer ones first
+        wraps = dense[element] >= 0.8 * total > 0
+        if outer[element] in kept and (wraps or (element in page.weak and dense[element] > 0.5 * all_chars[element])):
+            kept.add(element)
+    return kept
+
+
+def _within(region: int, outer: dict[int, int]) -> set[int]:
+    inside = {region}
+    for element in sorted(outer):
+        if outer[element] in inside:
+            inside.add(element)
+    return inside
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Blocks of the article, one per line; empty if there are none.
 
-    Lines of menus, frames, forms, notices, adverts and comments are set aside by their elements, unless
-    such an element holds nearly all of the page's text. The text-to-tag
-    ratios of the others are smoothed and split in two clusters; the region is the article or main element with most
-    text in the upper cluster, or, without such elements, the smallest one that holds nearly all of that text. All
-    lines of the region stay, short ones too.
+    Lines of menus, frames, forms, notices, adverts and comments are set aside by their elements, unless such an element
+    holds nearly all of the page's text, or is only weakly marked and dense. The text-to-tag ratios of the others are
+    smoothed and split in two clusters; the region is the article or main element with most text in the upper cluster,
+    or, without such elements, the smallest one that holds nearly all of that text. All lines of the region stay, short
+    ones too. Where no element holds the text, the lines from the first to the last of the upper cluster with
+    text outside links are the region.
     """
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
-    wraps = _wrappers(parser.lines, sigma)
-    lines = [x for x in parser.lines if wraps.issuperset(x[4])]
+    page = Lines()
+    page.feed(html or "")
+    page.close()
+    if not page.lines:
+        return ""
+    kept = _kept_asides(page, sigma)
+    lines = [x for x in page.lines if x.aside in kept]
     if not lines:
         return ""
     chars, content = _content(lines, sigma)
-    weight: dict[int, float] = {}
-    for (_, _, _, path, _), c, yes in zip(lines, chars, content, strict=True):
-        if yes:
-            for element in path:
-                weight[element] = weight.get(element, 0.0) + c
-    total = float(chars[content].sum())
-    held = {e for x in lines for e in x[3]}
-    articles = [e for e in parser.main if e in held]
-    if articles:
-        best = max((e for e in articles if parser.main[e] not in held), key=lambda e: (weight.get(e, 0.0), -e))
-        while deeper := [e for e in articles if parser.main[e] == best and weight.get(e, 0.0) >= 0.9 * weight.get(best, 0.0) > 0]:
-            best = deeper[0]
-        region = best
-    elif weight:
-        region = max((e for e, w in weight.items() if w >= 0.9 * total), default=None)
+    scopes = page.outer["scope"]
+    weight = _weights([x.scope for x in lines], np.where(content, chars, 0.0), scopes)
+    held = {element for element, n in _weights([x.scope for x in lines], np.ones(len(lines)), scopes).items() if n}
+    outer = {e: o for e, o in page.outer["main"].items() if e in held}
+    if outer:
+        region = max((e for e, o in outer.items() if o not in outer), key=lambda e: (weight[e], -e))
+        for e in sorted(outer):
+            if outer[e] == region and weight[e] >= 0.9 * weight[region] > 0:
+                region = e
     else:
-        region = None
-    return "\n".join(x[0] for x, yes in zip(lines, content, strict=True) if (region in x[3] if region is not None else yes))
+        total = float(chars[content].sum())
+        region = max((e for e, w in weight.items() if w >= 0.9 * total > 0), default=0)
+    if region:
+        inside = _within(region, scopes)
+        return "\n".join(x.text for x in lines if x.scope in inside)
+    rows = np.flatnonzero(content & (chars > 0))
+    return "\n".join(x.text for x in lines[rows[0] : rows[-1] + 1]) if len(rows) else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
