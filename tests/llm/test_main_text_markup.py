@@ -38,10 +38,10 @@ def test_ratios_find_the_article_without_its_elements():
 
 
 def test_clusters_decide_where_regions_end(monkeypatch):
-    bare = "".join(f"<p><a href=/{i}>Go {i}</a></p>" for i in range(8)) + "".join(f"<p>{p}</p>" for p in ARTICLE)
+    bare = "<p><b>1</b> <i>2</i> <b>3</b> <i>4</i></p>" * 8 + "".join(f"<p>{p}</p>" for p in ARTICLE)
     found = htmltext.main_text(bare)
     monkeypatch.setattr(htmltext, "threshold", lambda values: float(values.min()))
-    assert htmltext.main_text(bare) != found == "\n".join(ARTICLE)
+    assert htmltext.main_text(bare) != found and found.endswith("\n".join(ARTICLE)) and len(found) < len("\n".join(ARTICLE)) + 10
 
 
 def test_even_pages_are_kept_whole():
