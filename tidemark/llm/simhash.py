@@ -19,8 +19,8 @@ RADIUS = 2
 SHINGLE = 3
 #: A fingerprint is cut into this many parts; their population counts name its tile.
 PARTS = 4
-#: Fingerprints that one task holds as rows of a tile; larger tiles are dealt over several tasks.
-TILE_ROWS = 2048
+#: Fingerprints that one task holds as rows of a tile (half a MB); larger tiles are dealt over several tasks.
+TILE_ROWS = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -86,15 +86,26 @@ def thinned(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> Iterator[tu
 
 
 def _spanning(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_id: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between the two sets, thinned to a few per fingerprint without losing who is connected to whom."""
-    for i in range(0, len(own), 512):
-        a, a_id = own[i : i + 512], own_id[i : i + 512]
-        for j in range(0, len(other), 2048):
-            b, b_id = other[j : j + 2048], other_id[j : j + 2048]
-            near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-            if not near.any():
-                continue
-            yield from thinned(near, a_id, b_id)
+    """Links between the two sets, thinned to a few per fingerprint without losing who is connected to whom.
+
+    Fingerprints are rows of 64-bit words. Both sets are ordered by population count, and blocks whose counts differ by
+    more than the radius are skipped.
+    """
+    ones, other_ones = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (own, other))
+    order, other_order = ones.argsort(kind="stable"), other_ones.argsort(kind="stable")
+    for i in range(0, len(own), 128):
+        at = order[i : i + 128]
+        a, a_id, least, most = own[at], own_id[at], ones[at[0]] - radius, ones[at[-1]] + radius
+        lo, hi = np.searchsorted(other_ones[other_order], [least, most + 1])
+        for j in range(lo, hi, 1024):
+            to = other_order[j : min(j + 1024, hi)]
+            b = other[to]
+            far = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
+            for lane in range(1, own.shape[1]):
+                far += np.bitwise_count(a[:, None, lane] ^ b[None, :, lane])
+            near = far <= radius
+            if near.any():
+                yield from thinned(near, a_id, other_id[to])
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -102,23 +113,32 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A tile holds the fingerprints with the same population counts of their four 16-bit parts. A pair of tiles is
     compared only if these counts differ by ``radius`` in sum at most: a flipped bit changes one count by one, so no
-    pair within the radius is skipped. There are at most 17**4 tiles, which bounds the table of tile sizes that is sent
-    to all tasks; tiles beyond TILE_ROWS are dealt over several tasks by a hash.
+    pair within the radius is skipped. There are at most 17**4 tiles, which bounds the table of tile sizes.
+    """
+    tiles = prints.select("id", "fp", _tile(_signature("fp")).alias("tile"))
+    return tiled_links(tiles, [_plain_tile(d) for d in _offsets(radius)], radius, ["fp"])
+
+
+def tiled_links(tiles: DataFrame, steps: list[int], radius: int, lanes: list[str]) -> DataFrame:
+    """Links ``(a, b)`` of ``tiles(id, tile, *lanes)`` within ``radius`` bits over all lanes, for tiles that differ by a step.
+
+    The number of different tiles must be bounded, as their sizes are sent to all tasks; tiles beyond TILE_ROWS are
+    dealt over several tasks by a hash. Links are thinned, no connection is lost.
     """
-    tiles = prints.select("id", "fp", *[c.alias(f"p{i}") for i, c in enumerate(_signature("fp"))]).withColumn("tile", _tile([F.col(f"p{i}") for i in range(PARTS)]))
     sizes = tiles.groupBy("tile").agg(F.count("*").alias("n"))
     shares = staged(sizes.select("tile", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("shares")), "tiles")
     # owner rows stay in their own tile's share; every row also visits each share of the tiles that it may match
-    steps = F.explode(F.array(*[F.lit(_plain_tile(d)) for d in _offsets(radius)]))
-    own = tiles.join(F.broadcast(shares), "tile").select(F.col("tile").alias("at"), F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int").alias("share"), F.lit(0).alias("visits"), "id", "fp")
-    visits = tiles.select("id", "fp", "tile", steps.alias("step")).select("id", "fp", (F.col("tile") - F.col("step")).alias("at")).join(F.broadcast(shares.withColumnRenamed("tile", "at")), "at").select("at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(1).alias("visits"), "id", "fp")
+    own = tiles.join(F.broadcast(shares), "tile").select(F.col("tile").alias("at"), F.pmod(F.xxhash64(*lanes), F.col("shares")).cast("int").alias("share"), F.lit(0).alias("visits"), "id", *lanes)
+    step = F.explode(F.array(*map(F.lit, steps))).alias("step")
+    visits = tiles.select("id", *lanes, "tile", step).select("id", *lanes, (F.col("tile") - F.col("step")).alias("at")).join(F.broadcast(shares.withColumnRenamed("tile", "at")), "at")
+    visits = visits.select("at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(1).alias("visits"), "id", *lanes)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own_fp, own_id = None, [], []
         a = a_id = None
         for batch in rows:
-            at, share, kind, ids, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            fps = fps.astype(np.int64).view(np.uint64)
+            at, share, kind, ids, *words = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + len(lanes)))
+            fps = np.stack(words, axis=1).astype(np.int64).view(np.uint64)
             cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(share) != 0)) + 1
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for lo, hi in zip([0, *cut], [*cut, len(at)], strict=True):
@@ -132,7 +152,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                     own_id.append(ids[lo:mid])
                 if hi > mid:
                     if a is None:
-                        a, a_id = np.concatenate(own_fp) if own_fp else np.zeros(0, np.uint64), np.concatenate(own_id) if own_id else np.zeros(0, np.int64)
+                        a, a_id = np.concatenate([np.zeros((0, len(lanes)), np.uint64), *own_fp]), np.concatenate([np.zeros(0, np.int64), *own_id])
                     out.extend(_spanning(a, a_id, fps[mid:hi], ids[mid:hi], radius))
             if out:
                 x, y = (np.concatenate([o[i] for o in out]) for i in (0, 1))
@@ -178,21 +198,23 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each class stays: a row with the smallest doc_id; all columns of ``docs`` are kept.
 
     Rows that repeat the smallest doc_id of a class count as one document; the one with the smallest text hash stays.
-    Classes whose ids are all null stay whole.
+    An id that is repeated in two classes goes with either. Rows without an id stay.
     """
     return one_of_each(docs, simhash_classes(docs, radius))
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, given ``classes(doc_id, fp, component_id)``."""
-    keep = staged(classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    named = docs.withColumn("__doc", F.col("doc_id").cast("long"))
-    kept = named.join(keep.withColumnRenamed("doc_id", "__doc"), "__doc", "left_semi")
-    repeated = staged(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__doc")), "repeated")
-    if repeated.limit(1).count():
-        from pyspark.sql import Window
-
-        twice = kept.join(repeated, "__doc", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__doc").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
-        kept = kept.join(repeated, "__doc", "left_anti").unionByName(twice)
-    whole = named.where("__doc is null")
-    return kept.unionByName(whole).drop("__doc").select(*docs.columns)
+    """The rows of ``docs`` that stay, given ``classes(doc_id, ..., component_id)``: all but those of ids that aren't their class's.
+
+    The ids to drop grow with the rows, so they meet the rows by a shuffle at every size; rows without an id stay.
+    """
+    named = staged(classes.where("doc_id is not null").groupBy("doc_id", "component_id").count(), "named")
+    dropped = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
+    kept = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    twice = named.where("doc_id = component_id and count > 1").select(F.col("doc_id").alias("_twice"))
+    if not twice.limit(1).count():
+        return kept
+    once = kept.join(twice.hint("shuffle_hash"), kept["doc_id"].cast("long") == twice["_twice"], "left_anti")
+    again = kept.join(twice.hint("shuffle_hash"), kept["doc_id"].cast("long") == twice["_twice"], "left_semi")
+    least = F.min_by(F.struct(*[again[c] for c in docs.columns]), F.struct(F.xxhash64(again["text"]), F.xxhash64(*[again[c] for c in docs.columns])))
+    return once.unionByName(again.groupBy(again["doc_id"].cast("long").alias("_doc")).agg(least.alias("_row")).select("_row.*"))
