@@ -26,7 +26,8 @@ def duck():
 def ordered(frame):
     frame = frame[sorted(frame.columns)]
     keys = [c for c in ("ticker", "event_type", "date", "start", "score", "target") if c in frame.columns]
-    return frame.sort_values(keys, ignore_index=True)
+    keys += [c for c in frame.columns if c not in keys and frame[c].dtype.kind != "f"]  # reports have keys of their own
+    return frame.sort_values(keys or list(frame.columns), ignore_index=True, key=lambda c: c.astype(str) if c.dtype == object else c)
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import EPS, change
 from tidemark.operators import panel, trend
+from tidemark.plans import books, cleaning, labels, signals, validation
 from tidemark.plans import trend as trend_sql
 from tidemark.plans.rounding import roll_sql as _roll
 from tidemark.plans.rounding import round_sql as _round
@@ -16,7 +17,12 @@ from tidemark.plans.rounding import rounded
 from tidemark.sources.bars import BARS_SQL, daily_bars
 from tidemark.streaming.bars import event_bars
 
-FEATURES = tuple("ret_1d ret_2d ret_3d ret_5d ret_10d ret_20d ret_60d log_ret_1d momentum_12_1 reversal_1d reversal_5d vol_5d vol_20d vol_60d vol_ratio_5_20 vol_ratio_20_60 parkinson_vol_20 px_to_sma_5 px_to_sma_20 px_to_sma_50 px_to_sma_200 sma_5_20_cross bollinger_z pct_from_52w_high pct_from_52w_low range_position_52w volume_ratio_20 volume_zscore_20 volume_trend_5_20 amihud_illiq".split())
+# The names of the features.
+FEATURES = (
+    "ret_1d", "ret_2d", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ret_60d", "log_ret_1d", "momentum_12_1", "reversal_1d", "reversal_5d", "vol_5d", "vol_20d", "vol_60d", "vol_ratio_5_20", "vol_ratio_20_60",
+    "parkinson_vol_20", "px_to_sma_5", "px_to_sma_20", "px_to_sma_50", "px_to_sma_200", "sma_5_20_cross", "bollinger_z", "pct_from_52w_high", "pct_from_52w_low", "range_position_52w", "volume_ratio_20",
+    "volume_zscore_20", "volume_trend_5_20", "amihud_illiq",
+)
 KEYS = ("ticker", "date")
 
 
@@ -181,3 +187,6 @@ ORACLES |= {
     "rank_ic_significance": trend_sql.newey_west_sql(ORACLES["daily_rank_ic"]),
     "top_decile_book": trend_sql.book_sql(_XS),
 }
+for family in (cleaning, signals, validation, books, labels):
+    QUERIES |= family.QUERIES
+    ORACLES |= family.ORACLES

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Added before rounding where values are ratios of whole numbers: these often lie on a tie, which engines round apart.
+OFF_TIES = 1.2345678e-7
+
+
+def rounded_off_ties(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n) + OFF_TIES, digits) + F.lit(0.0) for n in names})
+
+
+def round_off_ties_sql(names: tuple[str, ...], digits: int = 6) -> str:
+    return ", ".join(f"round({n} + {OFF_TIES}, {digits}) + 0.0 AS {n}" for n in names)
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 

@@ -7,7 +7,11 @@ from tidemark.operators.trend import OSCILLATORS
 from tidemark.plans.rounding import roll_sql, round_sql
 from tidemark.sources.bars import BARS_SQL
 
-MICRO = tuple("overnight_gap intraday_ret close_position_in_range daily_range_pct gap_vs_range dollar_volume signed_volume_20 delivery_pct_ma20 delivery_pct_z20 delivery_pct_chg delivery_pct_trend delivery_volume_conviction avg_trade_size avg_trade_size_z20 n_trades_z20 turnover_z20".split())
+# The names of the features.
+MICRO = (
+    "overnight_gap", "intraday_ret", "close_position_in_range", "daily_range_pct", "gap_vs_range", "dollar_volume", "signed_volume_20", "delivery_pct_ma20", "delivery_pct_z20", "delivery_pct_chg", "delivery_pct_trend",
+    "delivery_volume_conviction", "avg_trade_size", "avg_trade_size_z20", "n_trades_z20", "turnover_z20",
+)
 BETA = ("beta_60d", "idio_vol_60d")
 BOOK = ("book", "market", "equity", "drawdown")
 _T = "(PARTITION BY ticker ORDER BY date)"
