@@ -51,15 +51,16 @@ def _held(positions: str, tranches: bool = False, grid: bool = False) -> str:
     return f"SELECT p.i, p.ticker, p.i + k.range AS s, p.w{f' / {HOLD}' if tranches else ''} AS w FROM ({positions}) p, range({HOLD}) k{f' WHERE p.i % {HOLD} = 0' if grid else ''}"
 
 
-TOP: Column = F.col("xs_rank") >= books.TOP
+def _top() -> Column:
+    return F.col("xs_rank") >= books.TOP
 
 
 def _construction(x: DataFrame) -> dict[str, DataFrame]:
-    top = books.equal_weights(x, TOP)
+    top = books.equal_weights(x, _top())
     return {
         "single": books.daily_returns(books.held(books.on_grid(top, HOLD), HOLD), x),
         "tranches": books.daily_returns(books.held(top, HOLD, True), x),
-        "inverse_vol": books.daily_returns(books.held(books.inverse_weights(x, TOP, "vol"), HOLD, True), x),
+        "inverse_vol": books.daily_returns(books.held(books.inverse_weights(x, _top(), "vol"), HOLD, True), x),
         "decay_exit": books.daily_returns(books.decayed(top, x, HOLD), x),
     }
 
@@ -75,8 +76,8 @@ def hedged_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlays(x: DataFrame) -> dict[str, DataFrame]:
     grid = books.on_grid(x, HOLD)
-    single = books.held(books.equal_weights(grid, TOP), HOLD)
-    positions = {"trend": books.with_fallback(grid, F.col("trend") > 0, TOP), "persistence": books.on_grid(books.persistent(x, HOLD), HOLD), "rank_momentum": books.on_grid(books.improving(x), HOLD), "sector_cap": books.sector_capped(grid), "sector_pairs": books.sector_pairs(grid)}
+    single = books.held(books.equal_weights(grid, _top()), HOLD)
+    positions = {"trend": books.with_fallback(grid, F.col("trend") > 0, _top()), "persistence": books.on_grid(books.persistent(x, HOLD), HOLD), "rank_momentum": books.on_grid(books.improving(x), HOLD), "sector_cap": books.sector_capped(grid), "sector_pairs": books.sector_pairs(grid)}
     return {name: books.daily_returns(books.held(p, HOLD), x) for name, p in positions.items()} | {"stop_loss": books.daily_returns(books.stopped(single, x), x)}
 
 
@@ -137,7 +138,7 @@ def market_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regime_filtered_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top names' mean outcome on dates after calm and after wild sessions, cut at the median volatility."""
     x = ranked(spark, sf_dir)
-    days = x.where(TOP & F.col("fwd_3d").isNotNull()).groupBy("date").agg(F.avg("fwd_3d").alias("book"))
+    days = x.where(_top() & F.col("fwd_3d").isNotNull()).groupBy("date").agg(F.avg("fwd_3d").alias("book"))
     known = books.regimes(x).where("vol_20 is not null")
     cut = known.agg(F.percentile("vol_20", 0.5).alias("cut"))
     found = days.join(known, "date").crossJoin(F.broadcast(cut)).groupBy((F.col("vol_20") > F.col("cut")).alias("wild"))
@@ -164,7 +165,7 @@ def entries_and_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rebalance: names that stay, come and go, as sorted lists, and the turnover."""
     from pyspark.sql import Window
 
-    grid = books.on_grid(ranked(spark, sf_dir), HOLD).where(TOP).groupBy("i").agg(F.array_sort(F.collect_list("ticker")).alias("names"))
+    grid = books.on_grid(ranked(spark, sf_dir), HOLD).where(_top()).groupBy("i").agg(F.array_sort(F.collect_list("ticker")).alias("names"))
     before = F.coalesce(F.lag("names").over(Window.orderBy("i")), F.array().cast("array<string>"))  # a row per rebalance
     rows = grid.withColumn("before", before)
     come, gone = F.array_except("names", "before"), F.array_except("before", "names")
