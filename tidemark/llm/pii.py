@@ -43,17 +43,16 @@ SPANS = "array<struct<kind:int,start:int,stop:int>>"
 class Bootstrap:
     """``context`` words before an entity are its pattern. A pattern speaks for a kind if at least ``support`` distinct
     entities of that kind follow it and they are at least ``confidence`` of all that follows it. ``digits`` is the
-    least number of digits of an identifier that isn't an address in another notation; ``rounds`` of scoring run over the graph."""
+    least number of digits of an identifier that isn't an address in another notation; ``rounds`` of scoring run over the graph.
+    Every task gets a sieve of ``2 ** sieve_bits`` places of 4 bytes, whatever the size of the data; 22 bits suit some
+    millions of patterns, fewer places only let more words through to the exact join."""
 
     context: int = 2
     support: int = 3
     confidence: float = 0.6
     digits: int = 5
     rounds: int = 3
-
-
-#: Bits of the sieve of patterns that every task gets; its size doesn't depend on the data.
-SIEVE_BITS = 20
+    sieve_bits: int = 20
 
 
 def luhn(digits: str) -> bool:
@@ -82,13 +81,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _hash_of(value: bytes) -> int:
+    return xxhash.xxh64_intdigest(value, 7) - (1 << 63)
+
+
 def _hash(value: str) -> int:
-    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+    return _hash_of(value.encode("utf-8", "surrogatepass"))
+
+
+_MARKS = ".,;:!?\"'()[]{}<>*#$%&|"
+_MASK = (1 << 64) - 1
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _code(word: str) -> int:
+    """A word of a pattern, unsigned: in lower case, with digits alike and without marks at its ends."""
+    return _hash(_DIGIT.sub("0", word.lower()).strip(_MARKS)) & _MASK
 
 
 def _key(words: list[str]) -> int:
-    """A pattern: words in lower case, with digits alike and without marks at their ends."""
-    return _hash(" ".join(_DIGIT.sub("0", w.lower()).strip(".,;:!?\"'()[]{}<>*#$%&|") for w in words))
+    """A pattern: its words' codes in turn."""
+    key = 0
+    for w in words:
+        key = ((key ^ _code(w)) * _MIX) & _MASK
+        key ^= key >> 29
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _keys(codes: np.ndarray, context: int) -> np.ndarray:
+    """The pattern before each word but the first ``context`` ones, as ``_key`` has it."""
+    n = max(0, len(codes) - context)
+    key = np.zeros(n, np.uint64)
+    for i in range(context):
+        key = (key ^ codes[i : i + n]) * np.uint64(_MIX)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+class Codes(dict):
+    """Codes of words (in UTF-8) met before; emptied when it has grown too large."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = code = _code(word.decode("utf-8", "surrogatepass"))
+        return code
 
 
 def shape(kind: int) -> int:
@@ -170,17 +209,36 @@ def occurrences(text: str, b: Bootstrap) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def followers(text: str, sieve: np.ndarray, b: Bootstrap) -> set[tuple[int, int]]:
-    """``(pattern, word)`` of each pattern of the sieve and each word behind it."""
-    words = [m.group() for m in _WORD.finditer(text)]
-    found: set[tuple[int, int]] = set()
-    plain = [_DIGIT.sub("0", w.lower()).strip(".,;:!?\"'()[]{}<>*#$%&|") for w in words]
-    for i in range(b.context, len(plain)):
-        key = _hash(" ".join(plain[i - b.context : i]))
-        bit = key & ((1 << SIEVE_BITS) - 1)
-        if sieve[bit >> 3] >> (bit & 7) & 1:
-            found.add((key, _hash(words[i])))
-    return found
+class Followers:
+    """Distinct words behind the patterns of a sieve, up to a number per pattern that settles that the pattern speaks for nothing.
+
+    ``most[bit]`` is that number, 0 where there is no pattern.
+    """
+
+    #: Words held before they are handed over.
+    HELD = 200_000
+
+    def __init__(self, most: np.ndarray, context: int):
+        self.most, self.context, self.codes = most, context, Codes()
+        self.found: dict[int, set[int]] = {}
+        self.held = 0
+
+    def add(self, text: str) -> None:
+        words = text.encode("utf-8", "surrogatepass").split()
+        keys = _keys(np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words)), self.context)
+        most = self.most[keys & (len(self.most) - 1)]
+        at = np.flatnonzero(most)
+        for i, key, limit in zip((at + self.context).tolist(), keys[at].tolist(), most[at].tolist(), strict=True):
+            behind = self.found.setdefault(key, set())
+            if len(behind) < limit:
+                before = len(behind)
+                behind.add(_hash_of(words[i]))
+                self.held += len(behind) - before
+
+    def taken(self) -> pa.RecordBatch:
+        pairs = [(key, word) for key, behind in self.found.items() for word in behind]
+        self.found, self.held = {}, 0
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["pattern", "word"])
 
 
 def _word_at(text: str, start: int) -> int:
@@ -215,24 +273,29 @@ def confident_patterns(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame
     begun = staged(texts.mapInArrow(seen, "pattern long, instance long, kind int, word long").distinct(), "begun")
     links = staged(begun.select("pattern", "instance", "kind").distinct(), "links")
     # only patterns before several distinct identifiers can reach the support
-    wide = staged(links.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= b.support), "wide")
-    bits = wide.select(F.col("pattern").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    sieve = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
-    np.bitwise_or.at(sieve, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
+    words_begun = begun.select("pattern", "word").distinct()
+    counts = links.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= b.support)
+    wide = staged(counts.join(words_begun.groupBy("pattern").agg(F.count("*").alias("begun")), "pattern"), "wide")
+    # with so many distinct words behind a pattern, even if all its instances are believed they are too small a part of it
+    enough = F.col("begun") + F.floor(F.col("instances") * (1 / b.confidence - 1)) + 2
+    bits = wide.groupBy(F.col("pattern").bitwiseAND(F.lit((1 << b.sieve_bits) - 1)).cast("int").alias("bit")).agg(F.max(enough).alias("most")).toPandas()
+    most = np.zeros(1 << b.sieve_bits, np.int32)
+    most[bits["bit"].to_numpy(np.int64)] = bits["most"].to_numpy(np.int64).clip(max=np.iinfo(np.int32).max)
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        behind = Followers(most, b.context)
         for batch in batches(rows):
-            found: set[tuple[int, int]] = set()
             for text in batch.column(0).to_pylist():
-                found |= followers(text, sieve, b)
-            columns = list(zip(*found, strict=True)) or [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["pattern", "word"])
+                behind.add(text)
+                if behind.held > behind.HELD:
+                    yield behind.taken()
+        yield behind.taken()
 
     none = "pattern long, kind int, confidence double"
     if not len(bits):
         return docs.sparkSession.createDataFrame([], none)
     # words at which no identifier begins
-    others = texts.mapInArrow(counted, "pattern long, word long").distinct().join(begun.select("pattern", "word").distinct(), ["pattern", "word"], "left_anti")
+    others = texts.mapInArrow(counted, "pattern long, word long").distinct().join(words_begun, ["pattern", "word"], "left_anti")
     totals = others.groupBy("pattern").agg(F.count("*").alias("total"))
     size = F.col("instances") + F.coalesce("total", F.lit(0))
     patterns = staged(wide.join(totals, "pattern", "left").select("pattern", size.alias("size")), "patterns")
