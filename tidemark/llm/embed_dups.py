@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,8 +25,8 @@ SHARE_ROWS = 1024
 class Hashing:
     """``projections`` quantised by ``width`` make a bucket; vectors meet if any of ``tables`` buckets agrees.
 
-    At the distance that a cosine of 0.95 leaves between unit vectors, 0.316, a pair misses all tables with a
-    probability of about one in 800; at a cosine of 0.98 with one in 100,000.
+    At the distance that a cosine of 0.95 leaves between unit vectors, 0.316, a projection agrees with a probability of
+    0.874, for unrelated vectors (a distance of 1.41) with one of 0.486.
     """
 
     tables: int = 16
@@ -33,6 +34,13 @@ class Hashing:
     width: float = 2.0
     seed: int = 11
 
+    @classmethod
+    def for_rows(cls, n: int, missed: float = 0.0013) -> Hashing:
+        """Buckets that stay small at any number of rows: a projection more for each doubling or so beyond 20,000, and as
+        many tables as a pair at 0.95 needs to miss all with the given probability. Tables grow with n ** 0.19."""
+        projections = 8 + max(0, math.ceil(math.log(max(n, 1) / 20_000) / -math.log(0.486)))
+        return cls(max(16, math.ceil(math.log(missed) / math.log1p(-(0.874**projections)))), projections)
+
 
 @lru_cache(maxsize=8)
 def _planes(h: Hashing, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,18 +124,20 @@ def _spanning(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def embedding_classes(vectors: DataFrame, cosine: float = COSINE, hashing: Hashing = Hashing()) -> DataFrame:
+def embedding_classes(vectors: DataFrame, cosine: float = COSINE, hashing: Hashing | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``.
 
     Equal vectors are one vertex with a count from the start. Null or zero vectors, and those with null or non-finite
     components, link with nothing. Vectors of different lengths don't link. Rows with a null id count as links of
     others and have a null component; a repeated row is a vector of its own. An empty table gives an empty result.
+    Unless given, the hashing is chosen for the number of distinct vectors.
     """
     e = F.col("embedding")
     good = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = staged(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), good.alias("good")), "vectors")
     sound = rows.where("good").select("vec_id", "e")
     distinct = staged(sound.groupBy("e").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    hashing = hashing or Hashing.for_rows(distinct.count())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
