@@ -11,6 +11,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = 20_24
+#: A text of this many words has an inclusion preference of 1; they run from 0.5 for the shortest texts to 1.5.
+MIDDLE_SIZE = 200
 #: Tables of sources up to this many rows are sent to all tasks; larger ones are joined by a shuffle.
 SMALL_SOURCES = 100_000
 #: Pareto ranks are integers of 60 bits; the cut is sought 12 bits at a time, the rest among the rows that are left.
@@ -71,20 +73,30 @@ def draw(seed: int) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
+def by_size(size: Column) -> Column:
+    """The preference for longer texts, which tell a model more than scraps do: up to 3 times the shortest ones'."""
+    return 0.5 + size / (size + F.lit(float(MIDDLE_SIZE)))
+
+
 def sized(docs: DataFrame, seed: int = SEED, preference: Column | None = None) -> DataFrame:
-    """``(doc_id, source, size, draw, preference)``: what the plan needs of each row, from one scan of the texts."""
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), (preference if preference is not None else F.lit(1.0)).cast("double").alias("preference"))
-    return cols.select("doc_id", "source", n_words(F.col("text")).alias("size"), draw(seed).alias("draw"), F.coalesce("preference", F.lit(1.0)).alias("preference"))
+    """``(doc_id, source, size, draw, preference)``: what the plan needs of each row, from one scan of the texts.
+
+    Without a ``preference`` it is ``by_size``; a null or negative one counts as 1 or 0.
+    """
+    given = preference.cast("double") if preference is not None else F.lit(None).cast("double")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), given.alias("preference"))
+    found = cols.select("doc_id", "source", n_words(F.col("text")).alias("size"), draw(seed).alias("draw"), "preference")
+    return found.withColumn("preference", by_size(F.col("size")) if preference is None else F.greatest(F.lit(0.0), F.coalesce("preference", F.lit(1.0))))
 
 
 def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, int]:
     """Per source ``source_size, target, whole, part, cut``, and the number of sources.
 
     Every document gets ``whole`` copies for certain. One more goes to those whose Pareto rank, under the inclusion
-    probability ``part * preference``, is at most ``cut``: as many of the first ranks as bring the source's words
+    probability ``rate * preference``, is at most ``cut``; the rate makes the probabilities' words add up to the need: as many of the first ranks as bring the source's words
     closest to its target. The cut is found from sums by rank interval, so no source is gathered or sorted.
     """
-    sources = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    sources = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("preference")).alias("preferred_size")), "sizes")
     n_sources = sources.count()
     total = float(sources.agg(F.sum("source_size")).first()[0] or 0) * share
     sources = staged(ranked_sources(sources, weights), "weights")
@@ -92,8 +104,9 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     target = F.least(F.col("source_size") * cap, F.lit(level) * F.col("weight"))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.withColumn("target", target.cast("double")).withColumn("whole", F.floor(copies).cast("long")).withColumn("part", copies - F.col("whole")).drop("weight")
+    sources = sources.withColumn("rate", F.col("part") * F.coalesce(F.try_divide("source_size", "preferred_size"), F.lit(1.0))).drop("preferred_size")
     left = staged(sources.withColumn("need", F.col("part") * F.col("source_size")).withColumn("low", F.lit(0).cast("long")), "need")
-    ranks = with_source(rows, left.select("source", "part"), n_sources).where("part > 0").select("source", "size", rank_of(F.col("part")).alias("rank"))
+    ranks = with_source(rows, left.select("source", "part", "rate"), n_sources).where("part > 0").select("source", "size", rank_of(F.col("rate")).alias("rank"))
     shift = RANK_BITS
     for _ in range(STEPS):
         shift -= STEP_BITS
@@ -114,17 +127,17 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     cuts = left.join(best.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     none = F.shiftleft("low", shift) - 1
     cut = F.when(F.col("part") <= 0, F.lit(-1)).when(F.col("off") < F.abs("need"), F.col("best")).otherwise(none)
-    return staged(cuts.select("source", "source_size", "target", "whole", "part", cut.cast("long").alias("cut")), "cuts"), n_sources
+    return staged(cuts.select("source", "source_size", "target", "whole", "part", "rate", cut.cast("long").alias("cut")), "cuts"), n_sources
 
 
-def rank_of(part: Column) -> Column:
-    return pareto_rank(F.col("draw"), part * F.col("preference"))
+def rank_of(rate: Column) -> Column:
+    return pareto_rank(F.col("draw"), rate * F.col("preference"))
 
 
 def allotted(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     """Adds ``copies`` and the source's columns to rows that carry ``draw`` and ``preference``."""
     joined = with_source(rows, plan, n_sources)
-    return joined.withColumn("copies", F.col("whole") + F.when((F.col("part") > 0) & (rank_of(F.col("part")) <= F.col("cut")), 1).otherwise(0))
+    return joined.withColumn("copies", F.col("whole") + F.when((F.col("part") > 0) & (rank_of(F.col("rate")) <= F.col("cut")), 1).otherwise(0))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, preference: Column | None = None) -> DataFrame:
@@ -142,7 +155,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """The rows of ``docs``, each as often as the mix takes it; columns as in ``docs``."""
     plan, n_sources = plan_mix(staged(sized(docs, seed, preference), "sized"), weights, share, cap)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.coalesce((preference if preference is not None else F.lit(1.0)).cast("double"), F.lit(1.0)).alias("preference"))
+    chosen = by_size(n_words(F.col("text"))) if preference is None else F.greatest(F.lit(0.0), F.coalesce(preference.cast("double"), F.lit(1.0)))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), chosen.alias("preference"))
     rows = rows.select("row", "source", draw(seed).alias("draw"), "preference")
     taken = allotted(rows, plan, n_sources).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select("row.*")

@@ -24,7 +24,7 @@ def headers(pages: DataFrame) -> DataFrame:
     """``pages`` with a row number and the payload's size and digest, staged; a null html is an empty payload."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    return staged(rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest")), "headers")
+    return staged(rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest")), "headers", "zstd")
 
 
 def resolved(head: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -50,15 +50,16 @@ def _field(name: str, value: Column) -> Column:
 
 
 def write_archives(head: DataFrame, revisits: DataFrame, path: str, date: str, seed: str) -> None:
-    """Archives with fresh headers: a response with its payload for originals, a bare revisit for the others.
+    """Archives with fresh headers: a response with its payload for originals, a bare revisit for the others. Both hold
+    an HTTP header block, as records of web pages do. Payloads are shuffled once, at every size.
 
     Spark's text writer ends each record with the two line breaks that WARC asks for, on any file system and with its
     commit protocol, so a lost executor leaves no torn file.
     """
     files = max(1, -(-int(head.agg(F.sum("payload_bytes")).first()[0] or 0) // FILE_BYTES))
-    rows = head.join(revisits, "row", "left")
+    rows = head.repartition(files, "row").join(revisits.hint("shuffle_hash"), "row", "left")
     again = F.col("target").isNotNull()
-    body = F.when(again, F.lit("")).otherwise(F.col("payload"))
+    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"), F.when(again, F.lit("")).otherwise(F.col("payload")))
     lines = F.concat(
         F.lit("WARC/1.1\r\n"),
         F.when(again, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
@@ -67,9 +68,9 @@ def write_archives(head: DataFrame, revisits: DataFrame, path: str, date: str, s
         F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"), F.lit("\r\n"),
         F.when(again, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), _record_id(F.col("target"), seed), F.lit(f">\r\nWARC-Profile: {PROFILE}\r\n"))).otherwise(F.lit("")),
         _field("X-Page-ID", F.col("page_id").cast("string")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
+        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
     )
-    rows.select(lines.alias("value")).repartition(files).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows.select(lines.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -103,6 +104,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 held, size = [], 0
                 with io.BufferedReader(gzip.GzipFile(fileobj=stream)) as records:
                     for fields, content in parse(records):
+                        if fields.get("content-type", "").startswith("application/http"):
+                            content = content[content.find(b"\r\n\r\n") + 4 :]
                         page, refers = fields.get("x-page-id"), fields.get("warc-refers-to", "")
                         held.append((fields["warc-record-id"][10:-1], fields["warc-type"], refers[10:-1] or None, int(page) if page else None, fields.get("warc-target-uri"), fields["warc-payload-digest"].partition(":")[2], content))
                         size += len(content)
