@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import EPS, change
 from tidemark.operators import panel, trend
-from tidemark.plans import books, cleaning, labels, signals, validation
+from tidemark.plans import books, cleaning, labels, live, signals, validation
 from tidemark.plans import trend as trend_sql
 from tidemark.plans.rounding import roll_sql as _roll
 from tidemark.plans.rounding import round_sql as _round
@@ -187,6 +187,6 @@ ORACLES |= {
     "rank_ic_significance": trend_sql.newey_west_sql(ORACLES["daily_rank_ic"]),
     "top_decile_book": trend_sql.book_sql(_XS),
 }
-for family in (cleaning, signals, validation, books, labels):
+for family in (cleaning, signals, validation, books, labels, live):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
