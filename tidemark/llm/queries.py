@@ -61,5 +61,50 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_quality_rules, op2_main_text, op3_mix_sources, op4_pack, op5_warc_revisits, op6_shared_passages, op7_simhash, op8_pii, op9_embedding_dups, op10_license_scan)}
-ORACLES: dict[str, str] = {}
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can check."""
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that no draw decides; targets to four digits."""
+    return op3_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round(F.col("target") + OFF_TIES, 4).alias("target"))
+
+
+def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many e-mail addresses each text holds, the one fixed form of op8 that SQL can check."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email")
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can check."""
+    return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: Added before rounding, alike in SQL, as engines part at ties.
+OFF_TIES = 1.2345678e-7
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_quality_rules, op2_main_text, op3_mix_sources, op4_pack, op5_warc_revisits, op6_shared_passages, op7_simhash, op8_pii, op9_embedding_dups, op10_license_scan, quality_base_counts, mix_targets, email_counts, license_base_places,
+    )
+}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PHRASES = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM i WHERE words[i:i + {len(phrase.split()) - 1}] = {phrase.split()}" for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")))
+ORACLES: dict[str, str] = {
+    "op5_warc_revisits": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+    "quality_base_counts": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents), i AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM i),
+r AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM g, (VALUES (0), (1), (2)) t(d) WHERE g.n > 1 GROUP BY doc_id), l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(words) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(words) AS base_failed FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id""",
+    "mix_targets": f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents), s AS (SELECT source, sum(size) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
+o AS (SELECT *, 2 * source_size / w AS full_at, coalesce(sum(2 * source_size) OVER b, 0) AS held, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS open FROM s WINDOW b AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((1.5 * (SELECT sum(size) FROM d) - held) / open) FILTER ((1.5 * (SELECT sum(size) FROM d) - held) / open <= full_at) AS level FROM o)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(least(2e0 * source_size, coalesce(level * w, 2e0 * source_size)) + {OFF_TIES}, 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l""",
+    "email_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email FROM documents",
+    "license_base_places": f"""WITH w AS (SELECT doc_id, {_LICENSE_WORDS} AS words FROM documents), i AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w), p AS ({_PHRASES})
+SELECT w.doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words, count(pos) AS n_base, CAST(min(pos) AS BIGINT) AS first_word, CAST(max(pos) AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS base_labels FROM w LEFT JOIN p ON p.doc_id = w.doc_id GROUP BY w.doc_id""",
+}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +16,7 @@ from tidemark.llm.staging import batches, staged
 SEED = 42
 RADIUS = 2
 SHINGLE = 3
-#: A fingerprint is cut into this many parts; their population counts name its tile.
-PARTS = 4
-#: Fingerprints that one task holds as rows of a tile (half a MB); larger tiles are dealt over several tasks.
+#: Fingerprints that one task holds as rows of a tile; larger tiles are dealt over several tasks.
 TILE_ROWS = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -53,24 +50,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _offsets(radius: int) -> list[tuple[int, ...]]:
-    """Differences of two tiles' population counts that a pair within the radius can have; each pair of tiles once."""
-    steps = [d for d in product(range(-radius, radius + 1), repeat=PARTS) if sum(map(abs, d)) <= radius]
-    return [d for d in steps if d >= (0,) * PARTS]
-
-
-def _signature(fp: str) -> list:
-    bits = 64 // PARTS
-    return [F.bit_count(F.shiftrightunsigned(F.col(fp), i * bits).bitwiseAND(F.lit((1 << bits) - 1))).cast("int") for i in range(PARTS)]
-
-
-def _tile(counts: list) -> F.Column:
-    key = counts[0]
-    for c in counts[1:]:
-        key = key * 32 + c
-    return key
-
-
 def thinned(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A few links per id that connect just the ids which the pairs of ``near`` connect."""
     root = np.arange(len(a_id))
@@ -111,37 +90,45 @@ def _spanning(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_id:
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links ``(a, b)`` that connect just those ids of distinct ``prints(id, fp)`` that differ in ``radius`` bits or fewer.
 
-    A tile holds the fingerprints with the same population counts of their four 16-bit parts. A pair of tiles is
-    compared only if these counts differ by ``radius`` in sum at most: a flipped bit changes one count by one, so no
-    pair within the radius is skipped. There are at most 17**4 tiles, which bounds the table of tile sizes.
+    A fingerprint is cut into radius + 1 parts. Two that differ in ``radius`` bits agree in one part at least, so a tile is
+    a value of a part, every print lies in radius + 1 tiles, and no pair within the radius is missed. Inside a tile,
+    blocks whose population counts differ by more than the radius are skipped.
     """
-    tiles = prints.select("id", "fp", _tile(_signature("fp")).alias("tile"))
-    return tiled_links(tiles, [_plain_tile(d) for d in _offsets(radius)], radius, ["fp"])
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    values = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1) if hi - lo < 64 else F.lit(-1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    tile = F.explode(F.array(*[value * (radius + 1) + i if radius else value for i, value in enumerate(values)])).alias("tile")
+    return tiled_links(prints.select("id", "fp", tile), [0], radius, ["fp"])
 
 
 def tiled_links(tiles: DataFrame, steps: list[int], radius: int, lanes: list[str]) -> DataFrame:
     """Links ``(a, b)`` of ``tiles(id, tile, *lanes)`` within ``radius`` bits over all lanes, for tiles that differ by a step.
 
-    The number of different tiles must be bounded, as their sizes are sent to all tasks; tiles beyond TILE_ROWS are
-    dealt over several tasks by a hash. Links are thinned, no connection is lost.
+    Tiles beyond TILE_ROWS are dealt over several tasks by a hash; the table of these is small, as each stands for that
+    many rows. Links are thinned, no connection is lost.
     """
-    sizes = tiles.groupBy("tile").agg(F.count("*").alias("n"))
-    shares = staged(sizes.select("tile", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("shares")), "tiles")
+    large = staged(tiles.groupBy("tile").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS).select(F.col("tile").alias("at"), F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("shares")), "tiles")
+
+    def dealt_over(rows: DataFrame) -> DataFrame:
+        return rows.join(large, "at", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+
     # owner rows stay in their own tile's share; every row also visits each share of the tiles that it may match
-    own = tiles.join(F.broadcast(shares), "tile").select(F.col("tile").alias("at"), F.pmod(F.xxhash64(*lanes), F.col("shares")).cast("int").alias("share"), F.lit(0).alias("visits"), "id", *lanes)
+    own = dealt_over(tiles.withColumnRenamed("tile", "at")).select("at", F.pmod(F.xxhash64(*lanes), F.col("shares")).cast("int").alias("share"), F.lit(0).alias("visits"), "id", *lanes)
     step = F.explode(F.array(*map(F.lit, steps))).alias("step")
-    visits = tiles.select("id", *lanes, "tile", step).select("id", *lanes, (F.col("tile") - F.col("step")).alias("at")).join(F.broadcast(shares.withColumnRenamed("tile", "at")), "at")
+    visits = dealt_over(tiles.select("id", *lanes, "tile", step).select("id", *lanes, (F.col("tile") - F.col("step")).alias("at")))
     visits = visits.select("at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(1).alias("visits"), "id", *lanes)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own_fp, own_id = None, [], []
         a = a_id = None
-        for batch in rows:
+        for batch in filter(len, rows):
             at, share, kind, ids, *words = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + len(lanes)))
             fps = np.stack(words, axis=1).astype(np.int64).view(np.uint64)
-            cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(share) != 0)) + 1
+            cut = np.concatenate(([0], np.flatnonzero((np.diff(at) != 0) | (np.diff(share) != 0)) + 1, [len(at)]))
+            # a print that is alone in its tile meets itself only
+            alone = (np.diff(cut) == 2) & (ids[cut[:-1].clip(max=len(at) - 1)] == ids[(cut[:-1] + 1).clip(max=len(at) - 1)])
+            alone[[0, -1]] = False  # a tile may go on in the next batch
             out: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi in zip([0, *cut], [*cut, len(at)], strict=True):
+            for lo, hi in zip(cut[:-1][~alone].tolist(), cut[1:][~alone].tolist(), strict=True):
                 if lo == hi:
                     continue
                 if (at[lo], share[lo]) != key:
@@ -159,7 +146,9 @@ def tiled_links(tiles: DataFrame, steps: list[int], radius: int, lanes: list[str
                 keep = x != y
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["a", "b"])
 
-    dealt = own.unionByName(visits).repartition("at", "share").sortWithinPartitions("at", "share", "visits")
+    # a set number of tasks, as the work of a tile is more than its bytes tell
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(visits).repartition(tasks, "at", "share").sortWithinPartitions("at", "share", "visits")
     return dealt.mapInArrow(run, "a long, b long")
 
 
