@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import EPS, change
 from tidemark.operators import panel, trend
-from tidemark.plans import books, cleaning, labels, live, signals, validation
+from tidemark.operators.labels import last_rows
+from tidemark.plans import books, cleaning, labels, live, models, signals, validation
 from tidemark.plans import trend as trend_sql
 from tidemark.plans.rounding import roll_sql as _roll
 from tidemark.plans.rounding import round_sql as _round
@@ -46,10 +47,13 @@ def cross_section_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_ranked_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best five-day returns of the latest date; ten is the report's size."""
-    rows = returns(spark, sf_dir)
-    latest = rows.agg(F.max("date").alias("date"))
-    ranked = panel.cross_section(rows.join(latest, "date", "left_semi"))
+    """The ten best five-day returns of the latest date; ten is the report's size.
+
+    A ticker's last six bars are all that is needed, so windows and ranks see no more of them.
+    """
+    recent = last_rows(daily_bars(spark, sf_dir), 6).withColumn("ret_5d", change(F.col("close"), 5))
+    latest = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.to_date(F.max("l_shipdate")).alias("date"))
+    ranked = panel.cross_section(recent.join(F.broadcast(latest), "date"))  # a single row
     return rounded(ranked.select(*KEYS, "ret_5d", "xs_rank").orderBy(F.desc_nulls_last("ret_5d"), "ticker").limit(10), "ret_5d", "xs_rank")
 
 
@@ -187,6 +191,6 @@ ORACLES |= {
     "rank_ic_significance": trend_sql.newey_west_sql(ORACLES["daily_rank_ic"]),
     "top_decile_book": trend_sql.book_sql(_XS),
 }
-for family in (cleaning, signals, validation, books, labels, live):
+for family in (cleaning, signals, validation, books, labels, live, models):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
