@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,20 @@ def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, *folders: str) -> None:
+    """Drop staged folders that nothing reads any more, and the shuffle files of finished jobs, which Spark keeps until
+    the driver collects its garbage."""
+    for path in folders:
+        _remove(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def folder_of(df: DataFrame) -> str:
+    """The folder that a staged table is read from."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
