@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` splits at just these characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting to drop a query's shuffle files when it ends; a staged table doesn't need them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -50,18 +51,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut in the lineage that survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    path, conf = scratch(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def released(spark: SparkSession, *folders: str) -> None:
-    """Drop staged folders that nothing reads any more, and the shuffle files of finished jobs, which Spark keeps until
-    the driver collects its garbage."""
+    """Drop staged folders that nothing reads any more."""
     for path in folders:
         _remove(spark, path)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def folder_of(df: DataFrame) -> str:
