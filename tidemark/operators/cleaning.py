@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_ticker
+from tidemark.operators.order import exact_quantiles
+from tidemark.sources.staging import staged
 
 
 def number(text: Column) -> Column:
@@ -67,10 +69,10 @@ def warmed(rows: DataFrame, n: int = 30) -> DataFrame:
 
 
 def imputed(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Missing and infinite values replaced by the column's median; one aggregate row goes to all tasks."""
-    rows = rows.withColumns({c: finite(c) for c in names})
-    middle = rows.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in names])
-    return rows.crossJoin(F.broadcast(middle)).withColumns({c: F.coalesce(c, f"_{c}") for c in names}).drop(*[f"_{c}" for c in names])
+    """Missing and infinite values replaced by the column's exact median, a number per column."""
+    rows = staged(rows.withColumns({c: finite(c) for c in names}))
+    middle = exact_quantiles(rows, names, (0.5,))
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(middle[c][0])) for c in names})
 
 
 def imputed_by_date(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -94,11 +96,15 @@ def long_form(rows: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = (
 
 def feature_statistics(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Per feature: count, mean, deviation, minimum, quartiles, maximum and missing values."""
-    at = [F.percentile("value", q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
+    rows = staged(rows.select(*names))
     found = long_form(rows, names).groupBy("feature").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *at, F.max("value").alias("max"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg(F.col("value").isNull().cast("double")).alias("missing_share")
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg(F.col("value").isNull().cast("double")).alias("missing_share"),
     )
-    return found
+    shares = (0.25, 0.5, 0.75)
+    held = [(name, *at) for name, at in exact_quantiles(rows, names, shares).items()]
+    quartiles = rows.sparkSession.createDataFrame(held, "feature string, " + ", ".join(f"q{int(100 * q)} double" for q in shares))
+    return found.join(F.broadcast(quartiles), "feature").select("feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max", "n_missing", "missing_share")
 
 
 def empty_features(rows: DataFrame, names: tuple[str, ...]) -> list[str]:

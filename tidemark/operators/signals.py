@@ -134,16 +134,3 @@ def delivery_family(bars: DataFrame, days_to_expiry: Column) -> DataFrame:
         "delivery_spike_flag": F.when(d > F.col("delivery_pct_ma20") + 2 * F.col("delivery_pct_std20"), 1).otherwise(0), "expiry_proximity_score": F.exp(-days_to_expiry / 5), "is_expiry_day": (days_to_expiry == 0).cast("int"),
         "fno_expiry_amplification": F.coalesce(1 + F.exp(-days_to_expiry / 3), F.lit(1.0)), "vwap_distance": F.try_divide(c - F.col("typical"), F.col("typical")), "volume_delta": F.col("volume") - _lag("volume"),
     }).drop("typical")
-
-
-def pattern_similarity(rows: DataFrame, n: int = 10, apart: int = 5, least: int = 20) -> DataFrame:
-    """Distance of the ``n`` returns before each row to the nearest such pattern of its ticker, over ``apart`` rows earlier.
-
-    Patterns meet within a ticker only, by a join; a ticker has some 250 rows a year.
-    """
-    w = by_ticker().rowsBetween(-n, -1)
-    held = rows.select("ticker", "date", F.row_number().over(by_ticker()).alias("k"), F.collect_list(F.coalesce("ret_1d", F.lit(0.0))).over(w).alias("pattern")).where(F.size("pattern") == n)
-    before = held.select("ticker", F.col("k").alias("j"), F.col("pattern").alias("old"))
-    far = F.sqrt(F.aggregate(F.zip_with("pattern", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    near = held.where(F.col("k") > least).join(before, "ticker").where(F.col("j") < F.col("k") - apart).groupBy("ticker", "date").agg(F.min(far).alias("pattern_similarity_score"))
-    return rows.join(near, ["ticker", "date"], "left")

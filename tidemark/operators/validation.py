@@ -9,13 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_ticker
 from tidemark.operators.cleaning import long_form
-
-
-def average_rank(x: Column, *keys: str) -> Column:
-    """Rank with ties at their average, over the rows with a value."""
-    every = Window.partitionBy(*keys)
-    ordered = every.orderBy(x.asc_nulls_last())
-    return F.when(x.isNotNull(), F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2)
+from tidemark.operators.order import average_ranks, with_offsets
+from tidemark.sources.staging import staged
 
 
 def normal_tail(z: Column) -> Column:
@@ -59,13 +54,12 @@ def jaccard(rows: DataFrame, flags: tuple[str, ...]) -> DataFrame:
 
 
 def spearman_matrix(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``(a, b, rho)`` of all pairs of columns over the rows that have all of them.
-
-    Ranks over the whole table need a total order of each column: one sorted partition per column, so this is for
-    tables of scores, not for rows without bound.
-    """
-    complete = rows.select(*names).dropna()
-    ranks = complete.select(*[average_rank(F.col(c)).alias(c) for c in names])
+    """``(a, b, rho)`` of all pairs of columns over the rows that have all of them. Ranks come from counts by value,
+    carried between bins of each column, so that no task sorts the table."""
+    ranks = staged(rows.select(*names).dropna())
+    for c in names:
+        ranks = ranks.join(average_ranks(ranks, c, f"_{c}").drop("times"), c)
+    ranks = ranks.select(*[F.col(f"_{c}").alias(c) for c in names])
     found = ranks.agg(*[F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias(f"{a}|{b}") for a, b in _pairs(names)])
     return _one_row_to_pairs(found, names, "rho")
 
@@ -90,8 +84,7 @@ def two_proportions(rows: DataFrame, flag: str, group: str) -> DataFrame:
 def rank_sum(rows: DataFrame, x: str, flag: str) -> DataFrame:
     """Mann-Whitney U of flagged against other rows with tie-corrected z, the one-sided probability of "less", and the AUC."""
     values = rows.where(F.col(x).isNotNull() & F.col(flag).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count_if(F.col(flag) == 1).alias("k1"), F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per distinct value
-    ranked = values.withColumn("rank", before + (F.col("k") + 1) / 2)
+    ranked = with_offsets(staged(values), "x", "k")[0].withColumn("rank", F.col("before") + (F.col("k") + 1) / 2)
     found = ranked.agg(F.sum("k1").alias("n1"), F.sum(F.col("k") - F.col("k1")).alias("n0"), F.sum(F.col("rank") * F.col("k1")).alias("r1"), F.sum(F.pow(F.col("k").cast("double"), 3) - F.col("k")).alias("ties"))
     n1, n0, n = F.col("n1"), F.col("n0"), F.col("n1") + F.col("n0")
     found = found.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
@@ -127,10 +120,13 @@ def class_weights(rows: DataFrame, target: str, classes: int = 5, root: bool = F
 
 
 def deciles(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Mean outcome by decile of ``x`` over all rows with both; equal scores keep the order of date and ticker."""
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ordered = Window.orderBy(x, "date", "ticker")
-    ranked = both.select(y, F.row_number().over(ordered).alias("rn"), F.count("*").over(Window.partitionBy()).alias("n"))
+    """Mean outcome by decile of ``x`` over all rows with both; equal scores keep the order of date and ticker.
+
+    Rows are numbered within each score, after the counts of the smaller ones, which carry over between bins."""
+    both = staged(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("ticker", "date", F.col(x).alias("x"), F.col(y).alias(y)))
+    before, n = with_offsets(both.groupBy("x").agg(F.count("*").alias("times")), "x", "times")
+    equal = Window.partitionBy("x").orderBy("date", "ticker")
+    ranked = both.join(before, "x").select(y, (F.col("before") + F.row_number().over(equal)).alias("rn"), F.lit(n).alias("n"))
     decile = F.greatest(F.ceil((F.col("rn") - 1) * 10 / (F.col("n") - 1) - 1e-9) - 1, F.lit(0)).cast("int")
     return ranked.groupBy(decile.alias("decile")).agg(F.count("*").alias("n"), F.avg(y).alias("mean_ret"))
 

@@ -65,14 +65,7 @@ def delivery_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("ticker", "date", *DELIVERY, "delivery_spike_flag", "is_expiry_day"), *DELIVERY)
 
 
-def nearest_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within quarters of a ticker, so that the join of patterns stays small."""
-    rows = daily_bars(spark, sf_dir).withColumn("ret_1d", change(F.col("close"), 1))
-    rows = rows.select(F.concat("ticker", F.date_format("date", ":yyyy"), F.quarter("date").cast("string")).alias("ticker"), "date", "ret_1d")
-    return rounded(signals.pattern_similarity(rows).select("ticker", "date", "pattern_similarity_score"), "pattern_similarity_score")
-
-
-QUERIES = {q.__name__: q for q in (price_shape_panel, volume_shape_panel, circuit_panel, autocorrelation_panel, benchmark_residual_panel, momentum_panel, volatility_regime_panel, delivery_panel, nearest_patterns)}
+QUERIES = {q.__name__: q for q in (price_shape_panel, volume_shape_panel, circuit_panel, autocorrelation_panel, benchmark_residual_panel, momentum_panel, volatility_regime_panel, delivery_panel)}
 
 _R = f"WITH {BARS_SQL}, r AS (SELECT *, close / lag(close) OVER {_T} - 1 AS ret_1d, volume / lag(volume) OVER {_T} - 1 AS dv, lag(close) OVER {_T} AS c1, row_number() OVER {_T} AS k FROM bars)"
 _W = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {} PRECEDING AND {})"
@@ -122,7 +115,4 @@ SELECT ticker, date, round(1.2345678e-7 + volatility_percentile_60d, 6) + 0.0 AS
     "delivery_panel": f"""{_R}, e AS (SELECT *, {_LAST_THURSDAY.format(d='date')} AS this, {_LAST_THURSDAY.format(d='(date + INTERVAL 1 MONTH)')} AS next, {roll_sql('avg', 'delivery_pct', 20)} AS delivery_pct_ma20, {roll_sql('stddev_samp', 'delivery_pct', 20)} AS delivery_pct_std20, (high + low + close) / 3 AS tp, volume - lag(volume) OVER {_T} AS volume_delta FROM r),
 f AS (SELECT *, exp(-{_DAYS} / 5) AS expiry_proximity_score, 1 + exp(-{_DAYS} / 3) AS fno_expiry_amplification, close / tp - 1 AS vwap_distance, CASE WHEN delivery_pct > delivery_pct_ma20 + 2 * delivery_pct_std20 THEN 1 ELSE 0 END AS delivery_spike_flag, CAST({_DAYS} = 0 AS INT) AS is_expiry_day FROM e)
 SELECT ticker, date, {round_sql(DELIVERY)}, delivery_spike_flag, is_expiry_day FROM f""",
-    "nearest_patterns": f"""{_R}, q AS (SELECT ticker || ':' || CAST(year(date) AS VARCHAR) || CAST(quarter(date) AS VARCHAR) AS ticker, date, coalesce(ret_1d, 0) AS x FROM r),
-h AS (SELECT ticker, date, row_number() OVER {_T} AS k, list(x) {_W.format(10, '1 PRECEDING')} AS p FROM q), n AS (SELECT h.ticker, h.date, min(list_distance(h.p, o.p)) AS d FROM h JOIN h o ON o.ticker = h.ticker AND o.k < h.k - 5 WHERE h.k > 20 AND o.k > 10 GROUP BY ALL)
-SELECT h.ticker, h.date, round(1.2345678e-7 + d, 6) + 0.0 AS pattern_similarity_score FROM h LEFT JOIN n ON h.ticker = n.ticker AND h.date = n.date""",
 }
