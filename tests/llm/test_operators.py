@@ -77,9 +77,8 @@ def test_packing_round_trip(spark):
 
     from tokenizers import Tokenizer
 
-    texts = [prose(n, n) for n in (1, 10, 700, 1500)] + ["", "Café <|endoftext|> 12'S"]
+    texts = [prose(n, n) for n in (1, 10, 700, 1500)] + ["", "Café <|endoftext|> 12'S", "a <|startoftext|>b <|ENDOFTEXT|> <| x |> <|endoftext|>", "<|endoftext|>"]
     tokenizer = Tokenizer.from_file(packing.vocabulary_path())
-    tokenizer.encode_special_tokens = True
     ids = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
     got = packing.pack(corpus(spark, texts)).toPandas()
     for r in got.itertuples():

@@ -27,9 +27,6 @@ GROUP_PIECES = 2048
 MEMORY = 600_000
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 1 << 23
-PIECES = 2048
-#: Words whose ids a worker remembers, give or take one text's.
-MEMORY = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -39,8 +36,9 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Characters whose case, composition and class the tokenizer and Arrow treat alike; texts with others are encoded whole.
-_ODD = "[^\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]"
+#: Characters whose case, composition and class the tokenizer and Arrow treat alike; texts with others, and
+#: texts that may hold one of the tokenizer's added tokens, are encoded whole.
+_ODD = "<[|]|[^\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]"
 #: The tokenizer's own cut into words, after lower-casing, for chunks of such characters.
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t-\ra-z\u00df-\u00f6\u00f8-\u017f0-9]+")
 #: A letter, then signs up to white space: a cut of the tokenizer's own, so that words are met without their full stops.
@@ -54,7 +52,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
