@@ -52,7 +52,8 @@ QUERIES = {q.__name__: q for q in (walk_forward_linear, pattern_cluster_table, b
 
 _PRANK = label_plans._prank
 ORACLES = {
-    "ranking_summary": f"""{label_plans._R}, b AS (SELECT * FROM r WHERE ret_5d IS NOT NULL AND fwd_3d IS NOT NULL), k AS (SELECT date, {_PRANK('ret_5d', 'date')} AS rx, {_PRANK('fwd_3d', 'date')} AS ry FROM b), ic AS (SELECT date, corr(rx, ry) AS ic FROM k GROUP BY date HAVING count(*) >= 10 AND corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))),
+    "ranking_summary": f"""{label_plans._R}, b AS (SELECT * FROM r WHERE ret_5d IS NOT NULL AND fwd_3d IS NOT NULL), k AS (SELECT date, {_PRANK('ret_5d', 'date')} AS rx, {_PRANK('fwd_3d', 'date')} AS ry, count(*) OVER (PARTITION BY date) AS m FROM b),
+ic AS (SELECT date, CASE WHEN sum(round(2 * rx * m - m - 1) * round(2 * ry * m - m - 1)) = 0 THEN 0 ELSE corr(rx, ry) END AS ic FROM k GROUP BY date HAVING count(*) >= 10 AND corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))),
 e AS (SELECT date, ic, ic - avg(ic) OVER () AS e FROM ic), g AS (SELECT ic, e * e AS g0, e * lag(e, 1) OVER (ORDER BY date) AS g1, e * lag(e, 2) OVER (ORDER BY date) AS g2 FROM e),
 s AS (SELECT count(*) AS n_days, avg(ic) AS mean_ic, avg(CAST(ic > 0 AS INT)) AS positive_share, CASE WHEN count(*) >= 3 THEN avg(ic) / sqrt(greatest((sum(g0) + 2 * (2e0 / 3) * coalesce(sum(g1), 0) + 2 * (1e0 / 3) * coalesce(sum(g2), 0)) / count(*), 1e-16) / count(*)) END AS t FROM g),
 q AS (SELECT date, quantile_cont(fwd_3d, 0.3) AS lo, quantile_cont(fwd_3d, 0.7) AS hi FROM r WHERE ret_5d IS NOT NULL GROUP BY date), y AS (SELECT ret_5d AS x, CASE WHEN fwd_3d <= lo THEN 0 WHEN fwd_3d >= hi THEN 1 END AS y FROM r JOIN q USING (date) WHERE ret_5d IS NOT NULL),

@@ -11,11 +11,11 @@ from tidemark.plans.rounding import round_off_ties_sql as round_sql
 from tidemark.plans.rounding import rounded_off_ties as rounded
 from tidemark.sources.bars import BARS_SQL, daily_bars
 
-FLAGS = ("anomaly_a", "anomaly_b", "anomaly_c")
+FLAGS = ("flag_a", "flag_b", "flag_c")
 SCORES = ("score_a", "score_b", "score_c", "score_d")
 _T = "(PARTITION BY ticker ORDER BY date)"
 _R = f"""WITH {BARS_SQL}, r AS (SELECT *, close / lag(close) OVER {_T} - 1 AS ret_1d, close / lag(close, 5) OVER {_T} - 1 AS ret_5d, lead(close, 3) OVER {_T} / close - 1 AS fwd_3d, lead(close, 5) OVER {_T} / close - 1 AS fwd_5d FROM bars),
-f AS (SELECT *, CASE WHEN volume > 60 THEN 1 ELSE 0 END AS anomaly_a, CASE WHEN abs(ret_1d) > 0.5 THEN 1 ELSE 0 END AS anomaly_b, CASE WHEN delivery_pct < 0.2 THEN 1 ELSE 0 END AS anomaly_c,
+f AS (SELECT *, CASE WHEN volume > 60 THEN 1 ELSE 0 END AS flag_a, CASE WHEN abs(ret_1d) > 0.5 THEN 1 ELSE 0 END AS flag_b, CASE WHEN delivery_pct < 0.2 THEN 1 ELSE 0 END AS flag_c,
   volume AS score_a, abs(ret_1d) AS score_b, -delivery_pct AS score_c, 1e0 AS score_d, CASE WHEN day(date) >= 25 THEN 1 ELSE 0 END AS expiry_week FROM r)"""
 
 
@@ -24,7 +24,7 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily_bars(spark, sf_dir).withColumns({"ret_1d": change(c, 1), "ret_5d": change(c, 5), "fwd_3d": panel.forward_return(3), "fwd_5d": panel.forward_return(5)})
     flag = lambda x: F.when(x, 1).otherwise(0)
     return rows.withColumns({
-        "anomaly_a": flag(F.col("volume") > 60), "anomaly_b": flag(F.abs("ret_1d") > 0.5), "anomaly_c": flag(F.col("delivery_pct") < 0.2),
+        "flag_a": flag(F.col("volume") > 60), "flag_b": flag(F.abs("ret_1d") > 0.5), "flag_c": flag(F.col("delivery_pct") < 0.2),
         "score_a": F.col("volume"), "score_b": F.abs("ret_1d"), "score_c": -F.col("delivery_pct"), "score_d": F.lit(1.0), "expiry_week": flag(F.dayofmonth("date") >= 25),
     })
 
@@ -42,13 +42,13 @@ def flag_rates_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flags_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = flagged(spark, sf_dir).groupBy(F.month("date").alias("month")).agg(F.avg("anomaly_a").alias("mean"), F.sum("anomaly_a").alias("sum"), F.count("*").alias("n"))
+    found = flagged(spark, sf_dir).groupBy(F.month("date").alias("month")).agg(F.avg("flag_a").alias("mean"), F.sum("flag_a").alias("sum"), F.count("*").alias("n"))
     return rounded(found, "mean")
 
 
 def effect_size_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten features of the largest effect; ten is the report's size."""
-    found = validation.effect_sizes(flagged(spark, sf_dir), "anomaly_a", ("ret_1d", "ret_5d", "delivery_pct", "n_trades", "close"))
+    found = validation.effect_sizes(flagged(spark, sf_dir), "flag_a", ("ret_1d", "ret_5d", "delivery_pct", "n_trades", "close"))
     return rounded(found.orderBy(F.desc(F.abs("cohens_d")), "feature").limit(10), "flagged_mean", "other_mean", "cohens_d")
 
 
@@ -75,11 +75,11 @@ GAPS = ("mean_gap", "median_gap", "std_gap", "cov")
 
 
 def event_gap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(validation.event_gaps(flagged(spark, sf_dir), "anomaly_a"), *GAPS)
+    return rounded(validation.event_gaps(flagged(spark, sf_dir), "flag_a"), *GAPS)
 
 
 def expiry_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(validation.two_proportions(flagged(spark, sf_dir), "anomaly_b", "expiry_week"), "rate1", "rate0", "ratio", "z", "p_value")
+    return rounded(validation.two_proportions(flagged(spark, sf_dir), "flag_b", "expiry_week"), "rate1", "rate0", "ratio", "z", "p_value")
 
 
 def expiry_rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +154,11 @@ def _below(z: str) -> str:
 
 
 _RATES = ", ".join(f"round(1.2345678e-7 + avg({f}), 6) + 0.0 AS {f}_rate" for f in FLAGS)
-_EFFECTS = " UNION ALL ".join(f"SELECT '{c}' AS feature, anomaly_a AS y, CAST({c} AS DOUBLE) AS v FROM f" for c in ("ret_1d", "ret_5d", "delivery_pct", "n_trades", "close"))
+_EFFECTS = " UNION ALL ".join(f"SELECT '{c}' AS feature, flag_a AS y, CAST({c} AS DOUBLE) AS v FROM f" for c in ("ret_1d", "ret_5d", "delivery_pct", "n_trades", "close"))
 _JACCARD = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce(count(*) FILTER ({a} = 1 AND {b} = 1) / nullif(count(*) FILTER ({a} = 1 OR {b} = 1), 0), {int(a == b)}) AS jaccard FROM f" for a in FLAGS for b in FLAGS)
 _RANKS = ", ".join(f"rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0 AS {s}" for s in SCORES)
 _RHO = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0) AS rho FROM k" for a in SCORES for b in SCORES)
-_AGREE = f"""{_R}, b AS (SELECT {', '.join(f'min({s}) AS lo_{s}, max({s}) AS hi_{s}' for s in SCORES)} FROM f), g AS (SELECT f.*, anomaly_a + anomaly_b + anomaly_c AS agreement_count, CAST(anomaly_a + anomaly_b + anomaly_c >= 2 AS INT) AS consensus,
+_AGREE = f"""{_R}, b AS (SELECT {', '.join(f'min({s}) AS lo_{s}, max({s}) AS hi_{s}' for s in SCORES)} FROM f), g AS (SELECT f.*, flag_a + flag_b + flag_c AS agreement_count, CAST(flag_a + flag_b + flag_c >= 2 AS INT) AS consensus,
   ({' + '.join(f'CASE WHEN hi_{s} > lo_{s} THEN ({s} - lo_{s}) / (hi_{s} - lo_{s}) ELSE 0 END' for s in SCORES)}) / 4 AS combined_score FROM f, b)"""
 _CLASS = "CASE WHEN fwd_3d > 0.03 THEN 4 WHEN fwd_3d > 0.01 THEN 3 WHEN fwd_3d >= -0.01 THEN 2 WHEN fwd_3d >= -0.03 THEN 1 WHEN fwd_3d < -0.03 THEN 0 END"
 _RULES = {"rising": "ret_5d > 0.1", "thin_delivery": "delivery_pct < 0.3", "heavy": "volume > 60", "heavy_and_rising": "volume > 60 AND ret_1d > 0", "flat": "abs(ret_1d) < 0.05"}
@@ -167,16 +167,16 @@ _FM = " UNION ALL ".join(f"SELECT '{c}' AS feature, date, {c} AS x, fwd_3d AS y
 ORACLES = {
     "flag_rates_by_ticker": f"{_R} SELECT ticker, count(*) AS n, {_RATES} FROM f GROUP BY ticker",
     "flag_rates_by_category": f"{_R} SELECT CASE WHEN sector IN ('Brand#1', 'Brand#2') THEN 'large' WHEN sector = 'Brand#3' THEN 'mid' ELSE 'Other' END AS category, count(*) AS n, {_RATES} FROM f GROUP BY 1",
-    "flags_by_month": f"{_R} SELECT CAST(month(date) AS INT) AS month, round(1.2345678e-7 + avg(anomaly_a), 6) + 0.0 AS mean, CAST(sum(anomaly_a) AS BIGINT) AS sum, count(*) AS n FROM f GROUP BY 1",
+    "flags_by_month": f"{_R} SELECT CAST(month(date) AS INT) AS month, round(1.2345678e-7 + avg(flag_a), 6) + 0.0 AS mean, CAST(sum(flag_a) AS BIGINT) AS sum, count(*) AS n FROM f GROUP BY 1",
     "effect_size_table": f"""{_R}, u AS ({_EFFECTS}), g AS (SELECT feature, avg(v) FILTER (y = 1) AS flagged_mean, avg(v) FILTER (y = 0) AS other_mean, sqrt((var_samp(v) FILTER (y = 1) + var_samp(v) FILTER (y = 0)) / 2) AS sd FROM u GROUP BY feature)
 SELECT feature, round(1.2345678e-7 + flagged_mean, 6) + 0.0 AS flagged_mean, round(1.2345678e-7 + other_mean, 6) + 0.0 AS other_mean, round(1.2345678e-7 + (flagged_mean - other_mean) / nullif(sd, 0), 6) + 0.0 AS cohens_d FROM g""",
     "flag_jaccard": f"{_R}, j AS ({_JACCARD}) SELECT a, b, round(1.2345678e-7 + jaccard, 6) + 0.0 AS jaccard FROM j",
     "score_spearman": f"{_R}, k AS (SELECT {_RANKS} FROM f WHERE score_b IS NOT NULL), m AS ({_RHO}) SELECT a, b, round(1.2345678e-7 + rho, 6) + 0.0 AS rho FROM m",
     "high_confidence": f"{_AGREE} SELECT ticker, count(*) AS n, round(1.2345678e-7 + avg(combined_score), 6) + 0.0 AS mean_score, min(date) AS first_date, max(date) AS last_date FROM g WHERE agreement_count >= 2 GROUP BY ticker",
     "agreement_table": f"{_AGREE} SELECT agreement_count, consensus, count(*) AS n, round(1.2345678e-7 + avg(combined_score), 6) + 0.0 AS mean_score FROM g GROUP BY ALL",
-    "event_gap_table": f"""{_R}, e AS (SELECT ticker, date, date - lag(date) OVER {_T} AS gap FROM f WHERE anomaly_a = 1), g AS (SELECT ticker, count(*) AS n, avg(gap) AS mean_gap, median(gap) AS median_gap, CAST(min(gap) AS INT) AS min_gap, CAST(max(gap) AS INT) AS max_gap, stddev_samp(gap) AS std_gap, sum(count(*)) OVER () AS total FROM e GROUP BY ticker),
+    "event_gap_table": f"""{_R}, e AS (SELECT ticker, date, date - lag(date) OVER {_T} AS gap FROM f WHERE flag_a = 1), g AS (SELECT ticker, count(*) AS n, avg(gap) AS mean_gap, median(gap) AS median_gap, CAST(min(gap) AS INT) AS min_gap, CAST(max(gap) AS INT) AS max_gap, stddev_samp(gap) AS std_gap, sum(count(*)) OVER () AS total FROM e GROUP BY ticker),
 h AS (SELECT *, std_gap / nullif(mean_gap, 0) AS cov FROM g WHERE n >= 3 AND total >= 10) SELECT ticker, n, min_gap, max_gap, {round_sql(GAPS)} FROM h""",
-    "expiry_proportions": f"""{_R}, c AS (SELECT count(*) FILTER (expiry_week = 1) AS n1, count(*) FILTER (expiry_week = 0) AS n0, count(*) FILTER (expiry_week = 1 AND anomaly_b = 1) AS x1, count(*) FILTER (expiry_week = 0 AND anomaly_b = 1) AS x0 FROM f),
+    "expiry_proportions": f"""{_R}, c AS (SELECT count(*) FILTER (expiry_week = 1) AS n1, count(*) FILTER (expiry_week = 0) AS n0, count(*) FILTER (expiry_week = 1 AND flag_b = 1) AS x1, count(*) FILTER (expiry_week = 0 AND flag_b = 1) AS x0 FROM f),
 d AS (SELECT *, x1 / n1 AS rate1, x0 / n0 AS rate0, (x1 + x0) / (n1 + n0) AS p FROM c), e AS (SELECT *, rate1 / rate0 AS ratio, (rate1 - rate0) / sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) AS z FROM d), g AS (SELECT *, 2 * {_tail('abs(z)')} AS p_value FROM e)
 SELECT n1, n0, x1, x0, {round_sql(('rate1', 'rate0', 'ratio', 'z', 'p_value'))} FROM g""",
     "expiry_rank_sum": f"""{_R}, v AS (SELECT delivery_pct AS x, count(*) FILTER (expiry_week = 1) AS k1, count(*) AS k FROM f GROUP BY 1), w AS (SELECT *, coalesce(sum(k) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2 AS rk FROM v),
