@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import books, labels, models, panel, trend, validation
+from tidemark.operators import books, labels, models, panel, training, trend, validation
 from tidemark.plans import labels as label_plans
 from tidemark.plans.books import HOLD, ranked
 from tidemark.plans.rounding import round_off_ties_sql as round_sql
 from tidemark.plans.rounding import rounded_off_ties as rounded
+from tidemark.sources.staging import staged
 
 NAMES = ("ret_1d", "ret_5d", "vol", "delivery_pct")
 
 
 def walk_forward_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trend.tail_labels(label_plans.rows_of(spark, sf_dir), "fwd_3d")
-    return rounded(models.walk_forward_scores(rows.select("ticker", "date", "label", *NAMES), NAMES), "p", digits=4)
+    """Six folds by two tails, fitted together on a staged panel; the members' mean rank on each date."""
+    rows = label_plans.rows_of(spark, sf_dir).select("ticker", "date", "fwd_3d", *NAMES)
+    return rounded(training.walk_forward_ensemble(rows, NAMES, "fwd_3d"), "p")
+
+
+def _last_block(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The last of six folds: rows to learn from, and those to score."""
+    rows = label_plans.rows_of(spark, sf_dir).select("ticker", "date", "fwd_3d", *NAMES)
+    parts = staged(labels.walk_forward(training.with_tails(rows, "fwd_3d"), 6, 3).where("fold = 5"))
+    return parts.where("role = 'train'"), parts.where("role = 'test'")
+
+
+def score_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for two tails by three seeds: margins of the last block, and each feature's part in them."""
+    train, test = _last_block(spark, sf_dir)
+    models = training.fitted_trees(train, NAMES, tuple(f"label_{round(100 * q)}" for q in training.TAILS))
+    parts = [f"part_{n}" for n in NAMES]
+    found = training.Attribution(models, NAMES).explained(test).select("ticker", "date", "margin", *parts)
+    return rounded(found, "margin", *parts)
 
 
 def pattern_cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +66,7 @@ def ranking_summary(spark: SparkSession, sf_dir: str, trials: int = 20) -> DataF
     return rounded(found.withColumn("deflated_t", F.col("t") - validation.expected_best(trials)).select("n_days", *SUMMARY), *SUMMARY)
 
 
-QUERIES = {q.__name__: q for q in (walk_forward_linear, pattern_cluster_table, bootstrap_paths, ranking_summary)}
+QUERIES = {q.__name__: q for q in (walk_forward_linear, score_contributions, pattern_cluster_table, bootstrap_paths, ranking_summary)}
 
 _PRANK = label_plans._prank
 ORACLES = {
