@@ -98,10 +98,10 @@ def sector_capped(rows: DataFrame, cap: float = 0.40) -> DataFrame:
     return held.select("i", "ticker", (F.col("w") / F.sum("w").over(Window.partitionBy("i"))).alias("weight"))
 
 
-def held(positions: DataFrame, hold: int, tranches: bool = False) -> DataFrame:
-    """Positions on every session that they are held, from the entry on; tranches share the capital."""
+def held(positions: DataFrame, hold: int, tranches: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Positions on every session that they are held, from the entry on; tranches share the capital. ``keys`` tell books apart."""
     weight = F.col("weight") / hold if tranches else F.col("weight")
-    return positions.select("i", "ticker", weight.alias("weight"), F.explode(F.sequence(F.col("i"), F.col("i") + hold - 1)).alias("s"))
+    return positions.select(*keys, "i", "ticker", weight.alias("weight"), F.explode(F.sequence(F.col("i"), F.col("i") + hold - 1)).alias("s"))
 
 
 def on_grid(rows: DataFrame, hold: int) -> DataFrame:
@@ -127,10 +127,46 @@ def decayed(positions: DataFrame, indexed: DataFrame, hold: int, floor: float =
     return marked.withColumn("fallen", fallen).where((F.col("fallen") == 0) | (F.col("s") == F.col("i"))).select("i", "ticker", "weight", "s")
 
 
-def daily_returns(on: DataFrame, indexed: DataFrame) -> DataFrame:
-    """``(i, date, ret)`` of every session: the weighted moves of what is held; 0 where nothing is."""
-    found = on.join(moves(indexed), ["ticker", "s"]).groupBy("s").agg(F.sum(F.col("weight") * F.col("move")).alias("ret"))
-    return sessions(indexed).join(found.withColumnRenamed("s", "i"), "i", "left").select("i", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+def daily_returns(on: DataFrame, indexed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, i, date, ret)`` of every session: the weighted moves of what is held; 0 where nothing is."""
+    found = on.join(moves(indexed), ["ticker", "s"]).groupBy(*keys, "s").agg(F.sum(F.col("weight") * F.col("move")).alias("ret"))
+    every = sessions(indexed)
+    if keys:
+        every = every.crossJoin(F.broadcast(on.select(*keys).distinct()))  # a row per book
+    return every.join(found.withColumnRenamed("s", "i"), [*keys, "i"], "left").select(*keys, "i", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+
+
+def refilled(indexed: DataFrame, every: int, starts: tuple[int, ...], keeps: tuple[float, ...], size: int = 10) -> DataFrame:
+    """``(start, keep, i, names, changed)``: books that are reviewed every ``every`` sessions from ``start`` on.
+
+    At a review names whose rank is ``keep`` or more stay, and the best others fill the book up to ``size``; ties go to
+    the first name. What a review holds depends on the one before, so a book is a fold over its reviews, in one row. Only
+    names that can matter are in it: strong ones, and the ``2 * size`` best of a review.
+    """
+    least = min(keeps)
+    plan = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), F.lit(k).alias("keep")) for s in starts for k in keeps]))
+    rows = indexed.where(F.col("xs_rank").isNotNull()).select("i", "ticker", "xs_rank")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("xs_rank"), "ticker")))
+    rows = rows.where((F.col("xs_rank") >= least) | (F.col("place") <= 2 * size))
+    reviews = rows.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("place", "ticker", "xs_rank"))).alias("ranked"))
+    reviews = reviews.withColumn("p", plan).select("p.*", "i", "ranked").where(F.col("i") % every == F.col("start"))
+    whole = reviews.groupBy("start", "keep").agg(F.array_sort(F.collect_list(F.struct("i", "ranked"))).alias("reviews"))
+    kind = "struct<held:array<string>,out:array<struct<i:int,names:array<string>,changed:bigint>>>"
+
+    def review(state: Column, r: Column) -> Column:
+        before = state["held"]
+        strong = F.transform(F.filter(r["ranked"], lambda x: x["xs_rank"] >= F.col("keep")), lambda x: x["ticker"])
+        stay = F.array_intersect(before, strong)
+        others = F.array_except(F.transform(r["ranked"], lambda x: x["ticker"]), stay)
+        come = F.slice(others, 1, F.greatest(F.lit(0), size - F.size(stay)))
+        names = F.concat(stay, come)
+        changed = F.size(F.array_except(before, names)) + F.size(F.array_except(names, before))
+        entry = F.struct(r["i"].cast("int").alias("i"), names.alias("names"), changed.cast("long").alias("changed"))
+        return F.struct(names.alias("held"), F.array_append(state["out"], entry).alias("out")).cast(kind)
+
+    nothing = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast("array<struct<i:int,names:array<string>,changed:bigint>>").alias("out")).cast(kind)
+    found = whole.select("start", "keep", F.aggregate("reviews", nothing, review, lambda s: s["out"]).alias("out"))
+    return found.select("start", "keep", F.inline("out"))
 
 
 def vol_targeted(days: DataFrame, target: float = 0.20, window: int = 60, least: int = 20) -> DataFrame:
@@ -188,10 +224,12 @@ def top_runs(indexed: DataFrame) -> DataFrame:
     return top.groupBy("ticker", "run").agg(F.count("*").alias("length")).drop("run")
 
 
-def decay_curve(rows: DataFrame, horizons: int = 10, least: int = 10) -> DataFrame:
-    """Mean rank correlation of today's rank with the returns over each horizon, and its share of the peak.
+def decay_curve(rows: DataFrame, horizons: int = 30, least: int = 10, days: int = 30) -> DataFrame:
+    """``(h, n_days, mean_ic, t, of_peak, peak_h, half_life)``: rank correlation of today's rank with the returns over each horizon.
 
-    All horizons are taken in one window pass and ranked together.
+    ``t`` allows for overlap up to the horizon; ``half_life`` is the first horizon after the peak with half of its
+    correlation or less. Horizons with fewer than ``days`` dates are left out. All horizons are taken in one window pass
+    and ranked together.
     """
     from tidemark.functions.windows import percent_rank
 
@@ -199,9 +237,21 @@ def decay_curve(rows: DataFrame, horizons: int = 10, least: int = 10) -> DataFra
     long = leads.unpivot(["date", "ticker", "xs_rank"], [str(h) for h in range(1, horizons + 1)], "h", "ret").where("ret is not null and xs_rank is not null").withColumn("h", F.col("h").cast("int"))
     ranked = long.select("h", "date", percent_rank(F.col("xs_rank"), "h", "date").alias("a"), percent_rank(F.col("ret"), "h", "date").alias("b"))
     safe = F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b"))
-    daily = ranked.groupBy("h", "date").agg(F.count("*").alias("n"), safe.alias("ic")).where(F.col("n") >= least)
-    curve = daily.groupBy("h").agg(F.count("ic").alias("n_days"), F.avg("ic").alias("mean_ic"))
-    return curve.withColumn("of_peak", F.try_divide("mean_ic", F.max(F.abs("mean_ic")).over(Window.partitionBy())))  # a row per horizon
+    daily = ranked.groupBy("h", "date").agg(F.count("*").alias("n"), safe.alias("ic")).where((F.col("n") >= least) & F.col("ic").isNotNull())
+    by_h = Window.partitionBy("h")
+    order = by_h.orderBy("date")  # a row per date of a horizon
+    daily = daily.withColumn("e", F.col("ic") - F.avg("ic").over(by_h))
+    daily = daily.withColumns({f"g{k}": F.col("e") * F.lag("e", k).over(order) for k in range(1, horizons)})
+    lag = F.greatest(F.col("h") - 1, F.lit(1))
+    total = F.sum(F.col("e") * F.col("e"))
+    for k in range(1, horizons):
+        total = total + F.when(lag >= k, 2 * (1 - k / (lag + 1))).otherwise(0.0) * F.coalesce(F.sum(f"g{k}"), F.lit(0.0))
+    curve = daily.groupBy("h").agg(F.count("*").alias("n_days"), F.avg("ic").alias("mean_ic"), total.alias("total")).where(F.col("n_days") >= days)
+    whole = Window.partitionBy()  # a row per horizon
+    curve = curve.withColumn("t", F.col("mean_ic") / F.sqrt(F.greatest(F.col("total") / F.col("n_days"), F.lit(1e-16)) / F.col("n_days")))
+    curve = curve.withColumns({"top": F.max("mean_ic").over(whole), "peak_h": F.max_by("h", F.struct("mean_ic", -F.col("h"))).over(whole)})
+    late = F.when((F.col("h") > F.col("peak_h")) & (F.col("mean_ic") <= F.col("top") / 2), F.col("h"))
+    return curve.select("h", "n_days", "mean_ic", "t", F.try_divide("mean_ic", "top").alias("of_peak"), "peak_h", F.min(late).over(whole).alias("half_life"))
 
 
 def regimes(rows: DataFrame) -> DataFrame:

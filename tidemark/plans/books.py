@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_ticker, change, percent_rank, rolling
-from tidemark.operators import books, panel
+from tidemark.operators import books, panel, trend
 from tidemark.plans.rounding import roll_sql
 from tidemark.plans.rounding import round_off_ties_sql as round_sql
 from tidemark.plans.rounding import rounded_off_ties as rounded
+from tidemark.plans.trend import MARKET_BETA
 from tidemark.sources.bars import BARS_SQL, daily_bars
 
 HOLD = 10
-HOLDS = (1, 3, 5, 10)
+HOLDS = (1, 2, 3, 5, 7, 10, 15, 20, 30)
 _T = "(PARTITION BY ticker ORDER BY date)"
 
 
@@ -21,13 +22,13 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of each session with the rank of the five-day return, a volatility, a trend and a market beta; sessions are dates."""
     c = F.col("close")
     rows = daily_bars(spark, sf_dir).select("ticker", "sector", "date", "close", "turnover").withColumns({"ret_1d": change(c, 1), "ret_5d": change(c, 5), "trend": c / rolling(F.avg, c, 50) - 1, **{f"fwd_{h}d": panel.forward_return(h) for h in HOLDS}})
-    rows = rows.withColumns({"vol": rolling(F.stddev_samp, F.col("ret_1d"), 20), "beta": rolling(F.avg, F.abs("ret_1d"), 20)})
+    rows = trend.market_beta(rows.withColumn("vol", rolling(F.stddev_samp, F.col("ret_1d"), 20))).withColumnRenamed("beta_60d", "beta").drop("idio_vol_60d")
     return books.on_sessions(rows.withColumn("xs_rank", percent_rank(F.col("ret_5d"), "date")))
 
 
 _PRANK = "CASE WHEN ret_5d IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY ret_5d NULLS LAST) + (count(*) OVER (PARTITION BY date, ret_5d) - 1) / 2.0) / count(ret_5d) OVER (PARTITION BY date) END"
 _X = f"""WITH {BARS_SQL}, a AS (SELECT ticker, sector, date, close, turnover, close / lag(close) OVER {_T} - 1 AS ret_1d, close / lag(close, 5) OVER {_T} - 1 AS ret_5d, close / {roll_sql('avg', 'close', 50)} - 1 AS trend, {', '.join(f'lead(close, {h}) OVER {_T} / close - 1 AS fwd_{h}d' for h in HOLDS)} FROM bars),
-x AS MATERIALIZED (SELECT *, {_PRANK} AS xs_rank, {roll_sql('stddev_samp', 'ret_1d', 20)} AS vol, {roll_sql('avg', 'abs(ret_1d)', 20)} AS beta, dense_rank() OVER (ORDER BY date) - 1 AS i FROM a),
+am AS (SELECT *, avg(ret_1d) OVER (PARTITION BY date) AS market FROM a), x AS MATERIALIZED (SELECT * EXCLUDE (market), {_PRANK} AS xs_rank, {roll_sql('stddev_samp', 'ret_1d', 20)} AS vol, {MARKET_BETA} AS beta, dense_rank() OVER (ORDER BY date) - 1 AS i FROM am),
 mv AS MATERIALIZED (SELECT ticker, lead(i) OVER {_T} - 1 AS s, lead(close) OVER {_T} / close - 1 AS move FROM x), d AS MATERIALIZED (SELECT DISTINCT i, date FROM x)"""
 #: A book's positions (i, ticker, w) as SQL over x.
 _TOP = "SELECT i, ticker, 1e0 / count(*) OVER (PARTITION BY i) AS w FROM x WHERE xs_rank >= 0.9"
@@ -125,7 +126,26 @@ def top_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(books.decay_curve(ranked(spark, sf_dir)), "mean_ic", "of_peak")
+    """Horizons of 1 to 30 days: mean rank correlation, its t, the peak, and when half of that is left."""
+    return rounded(books.decay_curve(ranked(spark, sf_dir)), "mean_ic", "t", "of_peak")
+
+
+#: First sessions and least ranks of the books that are only refilled; their size.
+STARTS, KEEPS, BOOK = (0, 5), (0.75, 0.9), 10
+
+
+def partial_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each book at each review, and how many came or went."""
+    found = books.refilled(ranked(spark, sf_dir), HOLD, STARTS, KEEPS, BOOK)
+    return found.select("start", "keep", "i", F.array_join(F.array_sort("names"), " ").alias("names"), "changed")
+
+
+def partial_rebalance_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily returns of those books, equally weighted between reviews."""
+    x = ranked(spark, sf_dir)
+    found = books.refilled(x, HOLD, STARTS, KEEPS, BOOK).select("start", "keep", "i", F.size("names").alias("n"), F.explode("names").alias("ticker"))
+    positions = books.held(found.withColumn("weight", 1.0 / F.col("n")).select("i", "ticker", "weight", "start", "keep"), HOLD, keys=("start", "keep"))
+    return rounded(books.daily_returns(positions, x, keys=("start", "keep")), "ret")
 
 
 REGIME = ("trend_20", "vol_20", "breadth_20", "fall")
@@ -176,7 +196,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         construction_books, hedged_books, overlay_books, scaled_books, book_summary, period_books, period_books_by_volatility, holding_sweep, top_run_lengths, signal_decay, market_regimes, regime_filtered_book, book_capacity,
-        best_of_date, entries_and_exits,
+        partial_rebalance, partial_rebalance_book, best_of_date, entries_and_exits,
     )
 }
 
@@ -213,7 +233,7 @@ p AS (SELECT hold, date, book, market, book - 40 / 1e4 AS net FROM k WHERE k % h
 _MEAN = "avg(ret) FILTER (xs_rank >= 0.9)"
 _LAGS = ", ".join(f"e * lag(e, {k}) OVER o AS g{k}" for k in range(1, 6))
 _TOTAL = " + ".join(f"{2 * (1 - k / 6)!r}::DOUBLE * coalesce(sum(g{k}), 0)" for k in range(1, 6))
-_LEADS = " UNION ALL ".join(f"SELECT {h} AS h, date, xs_rank, lead(close, {h}) OVER {_T} / close - 1 AS ret FROM x" for h in range(1, 11))
+_LEADS = " UNION ALL ".join(f"SELECT {h} AS h, date, xs_rank, lead(close, {h}) OVER {_T} / close - 1 AS ret FROM x" for h in range(1, 31))
 
 
 def _rank_of(x: str, keys: str) -> str:
@@ -225,6 +245,14 @@ _REGIMES = f"""{_X}, dy AS (SELECT date, avg(ret_1d) AS market, avg(CASE WHEN re
 fl AS (SELECT *, lv - max(lv) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS fa FROM w20), rg AS (SELECT date, lag(t) OVER (ORDER BY date) AS trend_20, lag(v) OVER (ORDER BY date) AS vol_20, lag(b) OVER (ORDER BY date) AS breadth_20, lag(fa) OVER (ORDER BY date) AS fall FROM fl)"""
 _NAMES = f"""{_X}, g AS (SELECT i, list_sort(list(ticker)) AS names FROM x WHERE xs_rank >= 0.9 AND i % {HOLD} = 0 GROUP BY i), b AS (SELECT *, coalesce(lag(names) OVER (ORDER BY i), []) AS before FROM g),
 c AS (SELECT *, list_filter(names, lambda t: NOT list_contains(before, t)) AS come, list_filter(before, lambda t: NOT list_contains(names, t)) AS gone FROM b)"""
+_DECAY_LAGS = ", ".join(f"e * lag(e, {k}) OVER o AS g{k}" for k in range(1, 30))
+_DECAY_TOTAL = " + ".join(f"CASE WHEN {k} <= greatest(h - 1, 1) THEN 2 * (1 - {k} / (greatest(h - 1, 1) + 1e0)) ELSE 0 END * coalesce(sum(g{k}), 0)" for k in range(1, 30))
+_PARTIAL = f"""ck AS (SELECT start, i, list(ticker ORDER BY xs_rank DESC, ticker) AS names, coalesce(list(ticker) FILTER (xs_rank >= 0.75), []) AS strong, coalesce(list(ticker) FILTER (xs_rank >= 0.9), []) AS best
+  FROM x, (VALUES {', '.join(f'({start})' for start in STARTS)}) s(start) WHERE i % {HOLD} = start AND xs_rank IS NOT NULL GROUP BY start, i),
+st AS (SELECT start, keep, i, row_number() OVER (PARTITION BY start, keep ORDER BY i) AS k, names, CASE WHEN keep = 0.75 THEN strong ELSE best END AS strong FROM ck, (VALUES {', '.join(f'({keep}e0)' for keep in KEEPS)}) t(keep)),
+b AS (WITH RECURSIVE f(start, keep, k, i, names, changed) AS (SELECT DISTINCT start, keep, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT) FROM st UNION ALL
+  SELECT start, keep, k, i, list_concat(stay, come), CAST(len(list_filter(before, lambda t: NOT list_contains(stay, t) AND NOT list_contains(come, t))) + len(list_filter(come, lambda t: NOT list_contains(before, t))) AS BIGINT) FROM (SELECT *, list_filter(names, lambda t: NOT list_contains(stay, t))[1:{BOOK} - len(stay)] AS come FROM (
+    SELECT st.start, st.keep, st.k, st.i, st.names, f.names AS before, list_filter(f.names, lambda t: list_contains(st.strong, t)) AS stay FROM f JOIN st ON st.start = f.start AND st.keep = f.keep AND st.k = f.k + 1))) SELECT * FROM f)"""
 ORACLES = {
     "construction_books": f"{_X}, o AS ({_series(_CONSTRUCTION)}) SELECT book, CAST(i AS INT) AS i, date, round(1.2345678e-7 + ret, 6) + 0.0 AS ret FROM o",
     "hedged_books": f"{_X}, {_SIDES}, o AS ({_series(_HEDGED)}) SELECT book, CAST(i AS INT) AS i, date, round(1.2345678e-7 + ret, 6) + 0.0 AS ret FROM o",
@@ -243,7 +271,13 @@ s AS (SELECT hold, count(*) AS n, sum(ln(greatest(1 + net, 1e-6))) AS net_log_gr
 z AS (SELECT *, net_log_growth * 252 / (n * hold) AS annual_log_growth FROM s) SELECT hold, n, {round_sql(SWEEP)} FROM z""",
     "top_run_lengths": f"{_X}, t AS (SELECT ticker, i - row_number() OVER {_T} AS run FROM x WHERE xs_rank >= 0.9), l AS (SELECT ticker, count(*) AS length FROM t GROUP BY ticker, run) SELECT length, count(*) AS n, count(DISTINCT ticker) AS n_tickers FROM l GROUP BY length",
     "signal_decay": f"""{_X}, u AS ({_LEADS}), v AS (SELECT h, date, {_rank_of('xs_rank', 'h, date')} AS a, {_rank_of('ret', 'h, date')} AS b FROM u WHERE ret IS NOT NULL AND xs_rank IS NOT NULL), c AS (SELECT h, date, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM v GROUP BY ALL HAVING count(*) >= 10),
-m AS (SELECT h, count(ic) AS n_days, avg(ic) AS mean_ic FROM c GROUP BY h) SELECT h, n_days, round(1.2345678e-7 + mean_ic, 6) + 0.0 AS mean_ic, round(1.2345678e-7 + mean_ic / max(abs(mean_ic)) OVER (), 6) + 0.0 AS of_peak FROM m""",
+e AS (SELECT h, date, ic, ic - avg(ic) OVER (PARTITION BY h) AS e FROM c WHERE ic IS NOT NULL), g AS (SELECT *, {_DECAY_LAGS} FROM e WINDOW o AS (PARTITION BY h ORDER BY date)),
+m AS (SELECT h, count(*) AS n_days, avg(ic) AS mean_ic, avg(ic) / sqrt(greatest((sum(e * e) + {_DECAY_TOTAL}) / count(*), 1e-16) / count(*)) AS t FROM g GROUP BY h HAVING count(*) >= 30),
+k AS (SELECT arg_max(h, mean_ic) AS peak_h, max(mean_ic) AS top FROM m), f AS (SELECT min(h) AS half_life FROM m, k WHERE h > peak_h AND mean_ic <= top / 2)
+SELECT h, n_days, round(1.2345678e-7 + mean_ic, 6) + 0.0 AS mean_ic, round(1.2345678e-7 + t, 6) + 0.0 AS t, round(1.2345678e-7 + mean_ic / top, 6) + 0.0 AS of_peak, peak_h, half_life FROM m, k, f""",
+    "partial_rebalance": f"""{_X}, {_PARTIAL} SELECT CAST(start AS INTEGER) AS start, keep, CAST(i AS INTEGER) AS i, array_to_string(list_sort(names), ' ') AS names, changed FROM b WHERE k > 0""",
+    "partial_rebalance_book": f"""{_X}, {_PARTIAL}, h AS (SELECT start, keep, unnest(names) AS ticker, i, len(names) AS n FROM b WHERE k > 0), r AS (SELECT start, keep, h.i + j.range AS s, sum(move / n) AS ret FROM h, range({HOLD}) j, mv WHERE mv.ticker = h.ticker AND mv.s = h.i + j.range GROUP BY ALL),
+t AS (SELECT DISTINCT start, keep FROM b WHERE k > 0) SELECT CAST(t.start AS INTEGER) AS start, t.keep, CAST(d.i AS INT) AS i, d.date, round(1.2345678e-7 + coalesce(ret, 0), 6) + 0.0 AS ret FROM t CROSS JOIN d LEFT JOIN r ON r.start = t.start AND r.keep = t.keep AND r.s = d.i""",
     "market_regimes": f"{_REGIMES} SELECT date, {round_sql(REGIME)} FROM rg",
     "regime_filtered_book": f"""{_REGIMES}, bk AS (SELECT date, avg(fwd_3d) AS book FROM x WHERE xs_rank >= 0.9 AND fwd_3d IS NOT NULL GROUP BY date), ct AS (SELECT median(vol_20) AS cut FROM rg WHERE vol_20 IS NOT NULL)
 SELECT vol_20 > cut AS wild, count(*) AS n, round(1.2345678e-7 + avg(book), 6) + 0.0 AS mean_book, round(1.2345678e-7 + avg(CAST(book > 0 AS INT)), 6) + 0.0 AS win_rate FROM bk JOIN rg USING (date), ct WHERE vol_20 IS NOT NULL GROUP BY 1""",

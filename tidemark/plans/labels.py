@@ -6,23 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import EPS, by_ticker, change, percent_rank, rolling
-from tidemark.operators import labels, panel, validation
+from tidemark.operators import labels, panel, trend, validation
 from tidemark.operators.cleaning import number
 from tidemark.plans.rounding import roll_sql
 from tidemark.plans.rounding import round_off_ties_sql as round_sql
 from tidemark.plans.rounding import rounded_off_ties as rounded
+from tidemark.plans.trend import MARKET_BETA
 from tidemark.sources.bars import BARS_SQL, daily_bars
 
 HORIZONS = (1, 3, 5)
 _T = "(PARTITION BY ticker ORDER BY date)"
 _R = f"""WITH {BARS_SQL}, r AS (SELECT *, close / lag(close) OVER {_T} - 1 AS ret_1d, close / lag(close, 5) OVER {_T} - 1 AS ret_5d, close / lag(close, 20) OVER {_T} - 1 AS ret_20d, {', '.join(f'lead(close, {h}) OVER {_T} / close - 1 AS fwd_{h}d' for h in HORIZONS)} FROM bars),
-v AS MATERIALIZED (SELECT *, {roll_sql('stddev_samp', 'ret_1d', 20)} AS vol, {roll_sql('avg', 'abs(ret_1d)', 20)} AS beta FROM r)"""
+vm AS (SELECT *, avg(ret_1d) OVER (PARTITION BY date) AS market FROM r), v AS MATERIALIZED (SELECT * EXCLUDE (market), {roll_sql('stddev_samp', 'ret_1d', 20)} AS vol, {MARKET_BETA} AS beta FROM vm)"""
 
 
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("close")
     rows = daily_bars(spark, sf_dir).withColumns({"ret_1d": change(c, 1), "ret_5d": change(c, 5), "ret_20d": change(c, 20), **{f"fwd_{h}d": panel.forward_return(h) for h in HORIZONS}})
-    return rows.withColumns({"vol": rolling(F.stddev_samp, F.col("ret_1d"), 20), "beta": rolling(F.avg, F.abs("ret_1d"), 20)})
+    rows = trend.market_beta(rows.withColumn("vol", rolling(F.stddev_samp, F.col("ret_1d"), 20)))
+    return rows.withColumnRenamed("beta_60d", "beta").drop("idio_vol_60d")
 
 
 def target_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,13 @@ c AS (SELECT *, CASE WHEN high > low THEN overnight_gap / (daily_range_pct + {EP
 SELECT ticker, date, {round_sql(MICRO)} FROM c"""
 
 
+_W60 = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+#: Beta over rows with ``ret_1d`` and the date's mean return ``market``.
+MARKET_BETA = f"CASE WHEN count(CASE WHEN market IS NOT NULL THEN ret_1d END) {_W60} >= 60 THEN covar_samp(ret_1d, market) {_W60} END / ({roll_sql('var_samp', 'market', 60)} + {EPS})"
+
+
 def beta_sql(returns: str) -> str:
-    w = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
-    return f"""{returns}, m AS (SELECT *, avg(ret_1d) OVER (PARTITION BY date) AS market FROM r), b AS (SELECT *, CASE WHEN count(CASE WHEN market IS NOT NULL THEN ret_1d END) {w} >= 60 THEN covar_samp(ret_1d, market) {w} END / ({roll_sql('var_samp', 'market', 60)} + {EPS}) AS beta_60d FROM m),
+    return f"""{returns}, m AS (SELECT *, avg(ret_1d) OVER (PARTITION BY date) AS market FROM r), b AS (SELECT *, {MARKET_BETA} AS beta_60d FROM m),
 e AS (SELECT *, ret_1d - beta_60d * market AS rest FROM b), f AS (SELECT *, {roll_sql('stddev_samp', 'rest', 60)} AS idio_vol_60d FROM e) SELECT ticker, date, {round_sql(BETA)} FROM f"""
 
 
