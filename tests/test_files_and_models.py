@@ -1,12 +1,14 @@
 """Round trips of files, and models on small panels."""
 
 import datetime as dt
+import zipfile
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import models
-from tidemark.sources import files
+from tidemark.sources import archives, files
+from tidemark.streaming import quotes
 
 DAY = dt.date(2020, 1, 1)
 
@@ -62,7 +64,90 @@ def test_bootstrap_keeps_the_mean_and_reruns_agree(spark):
     assert all(-1 <= r.max_drawdown <= 0 for r in a)
 
 
-def test_clusters_of_patterns(spark):
-    rows = spark.createDataFrame([(t, DAY + dt.timedelta(days=i), s * (1.0 if i % 2 else -1.0)) for t, s in (("A", 0.1), ("B", 5.0)) for i in range(30)], "ticker string, date date, ret_1d double")
-    got = models.pattern_clusters(rows)
-    assert got.count() == 60 and got.where("cluster is null").count() == 20 and got.select("cluster").distinct().count() >= 3
+def test_clusters_of_patterns_by_ticker(spark):
+    """Every pattern belongs to the nearest of its ticker's centres, which are its clusters' means; a short past is one cluster."""
+    rng = np.random.default_rng(6)
+    series = {"A": 0.1 * rng.normal(size=90), "B": np.repeat([-3.0, 0.0, 4.0], 40) + rng.normal(size=120), "C": rng.normal(size=39), "D": np.zeros(60), "E": np.ones(4)}
+    rows = [(t, DAY + dt.timedelta(days=i), None if i == 0 else float(v)) for t, s in series.items() for i, v in enumerate(s)]
+    panel = spark.createDataFrame(rows, "ticker string, date date, ret_1d double")
+    found = {(r.ticker, r.date): r.cluster for r in models.pattern_clusters(panel).collect()}
+    assert found == {(r.ticker, r.date): r.cluster for r in models.pattern_clusters(panel.repartition(3)).collect()}
+    for ticker, s in series.items():
+        s = np.concatenate(([0.0], s[1:]))
+        labels = [found[ticker, DAY + dt.timedelta(days=i)] for i in range(len(s))]
+        assert labels[:10] == [None] * min(10, len(s))
+        patterns = np.array([s[i - 10 : i] for i in range(10, len(s))])
+        mine = np.array(labels[10:])
+        if len(patterns) < 30 or ticker == "D":
+            assert set(mine.tolist()) <= {0}
+            continue
+        assert set(mine) == {0, 1, 2}
+        centres = np.array([patterns[mine == c].mean(axis=0) for c in range(3)])
+        assert (np.diff(centres.sum(axis=1)) >= 0).all()
+        assert (((patterns[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) == mine).all()
+
+
+def _archive(path, text, name="fo.csv"):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("readme.txt", "not this one")
+        z.writestr(name, text)
+
+
+def test_zipped_files_of_a_span_of_days(spark, tmp_path):
+    head = "INSTRUMENT,SYMBOL , STRIKE_PR,OPEN_INT,\n"
+    _archive(tmp_path / "fo05JAN2021bhav.csv.zip", head + "OPTSTK,ABC,100,7,\nOPTIDX,NIFTY,1,1,\n FUTSTK ,XYZ,,9,\n")
+    _archive(tmp_path / "fo06JAN2021bhav.csv.zip", head + "".join(f"OPTSTK,S{i},{i}.5,{i},\n" for i in range(50_000)))
+    _archive(tmp_path / "fo07JAN2021bhav.csv.zip", "SYMBOL,OPEN_INT\nABC,3\n")
+    _archive(tmp_path / "fo09JAN2021bhav.csv.zip", head + "OPTSTK,LATE,1,1,\n")
+    (tmp_path / "fo08JAN2021bhav.csv.zip").write_bytes((tmp_path / "fo06JAN2021bhav.csv.zip").read_bytes()[:2000])
+    (tmp_path / "fo32JAN2021bhav.csv.zip").write_bytes(b"no day")
+    (tmp_path / "notes.txt").write_text("05JAN2021")
+    rows, broken = archives.zipped_rows(spark, str(tmp_path), "SYMBOL string, STRIKE_PR double, OPEN_INT long", dt.date(2021, 1, 5), dt.date(2021, 1, 8))
+    counts = {r["date"]: (r["n"], r["s"]) for r in rows.groupBy("date").agg(F.count("*").alias("n"), F.sum("OPEN_INT").alias("s")).collect()}
+    assert counts == {dt.date(2021, 1, 5): (2, 16), dt.date(2021, 1, 6): (50_000, 49_999 * 25_000), dt.date(2021, 1, 7): (1, 3)}
+    assert rows.where("SYMBOL = 'XYZ'").first().STRIKE_PR is None and rows.where("SYMBOL = 'S7'").first().STRIKE_PR == 7.5
+    assert [r.file for r in broken.collect()] == ["fo08JAN2021bhav.csv.zip"]
+    assert len(archives.archives_between(spark, str(tmp_path), dt.date(2021, 1, 6), dt.date(2021, 1, 7))) == 2
+    none, _ = archives.zipped_rows(spark, str(tmp_path), "SYMBOL string", dt.date(2030, 1, 1), dt.date(2030, 1, 2))
+    assert none.collect() == [] and none.columns == ["SYMBOL", "date", "file"]
+
+
+def test_a_stream_that_is_stopped_and_started_again(spark, tmp_path):
+    """The sink's last date and the keys of repeats come back from what was written, not from the driver."""
+    ts = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    schema = "quote_id long, ticker string, ts timestamp, price double"
+    done = []
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        events = quotes.without_repeats(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), "quote_id", late="2 days")
+
+        def scores(batch):
+            done.append(batch.count())
+            return batch.groupBy("date").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+
+        sink = quotes.latest_date_sink(scores, str(tmp_path / "out"))
+        stream = events.withColumn("date", F.to_date("ts")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        stream.awaitTermination(120)
+        return sink
+
+    def table():
+        return sorted((r.date, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    arrive("a", [(1, "A", ts(2, 9), 1.0), (2, "A", ts(3, 9), 2.0), (2, "A", ts(3, 9), 2.0)])
+    run()
+    first = (dt.date(2024, 1, 3), 1, 2.0)
+    assert table() == [first]
+    arrive("b", [(2, "A", ts(3, 9), 2.0), (3, "A", ts(3, 10), 50.0)])  # a repeat, and more of a date that isn't new
+    run()
+    assert table() == [first]
+    arrive("c", [(4, "A", ts(4, 9), 4.0), (5, "B", ts(4, 9), 5.0), (3, "A", ts(3, 10), 50.0)])
+    sink = run()
+    assert table() == [first, (dt.date(2024, 1, 4), 2, 9.0)]
+    number = max(r.batch for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    again = spark.createDataFrame([(dt.date(2024, 1, 4), 4.0), (dt.date(2024, 1, 4), 5.0)], "date date, price double")
+    sink(again, number)  # the same batch once more, as after a failure
+    sink(again, number + 1)  # another batch of a date that is known
+    assert table() == [first, (dt.date(2024, 1, 4), 2, 9.0)]

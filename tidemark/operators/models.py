@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_ticker, percent_rank
 from tidemark.operators.labels import walk_forward
+from tidemark.sources.staging import staged
 
 
 def learner(kind: str):
@@ -47,14 +47,45 @@ def blended(scores: DataFrame, other: DataFrame, share: float = 0.3) -> DataFram
     return ranked.withColumn("p", F.coalesce((1 - share) * F.col("p") + share * F.col("rank"), F.col("p"))).drop("q", "rank")
 
 
-def pattern_clusters(rows: DataFrame, x: str = "ret_1d", n: int = 10, k: int = 3, seed: int = 42) -> DataFrame:
-    """``cluster`` of the last ``n`` values of each row; labels have no order, and rows with a shorter past have none."""
-    held = rows.withColumn("pattern", F.collect_list(F.coalesce(x, F.lit(0.0))).over(by_ticker().rowsBetween(-n, -1)))
-    known = held.where(F.size("pattern") == n).select("ticker", "date", array_to_vector("pattern").alias("features"))
-    if not known.limit(k).count() == k:
-        return rows.select("ticker", "date", F.lit(None).cast("int").alias("cluster"))
-    found = KMeans(k=k, seed=seed).fit(known).transform(known).select("ticker", "date", F.col("prediction").alias("cluster"))
-    return rows.select("ticker", "date").join(found, ["ticker", "date"], "left")
+def pattern_clusters(rows: DataFrame, x: str = "ret_1d", n: int = 10, k: int = 3, least: int = 30, rounds: int = 40) -> DataFrame:
+    """``cluster`` of the ``n`` values before each row, by k-means within each ticker; 0 for all of a ticker with fewer than
+    ``least`` patterns, null for rows with a shorter past.
+
+    The rounds run for all tickers at once, centres being a table by ticker. The first centre is the pattern nearest to
+    the ticker's mean, each further one the pattern farthest from those before it, the earlier of equals; so reruns agree.
+    Clusters are numbered by their centre's sum, from falling to rising. Rounds end when no centre moves.
+    """
+    xs = [f"x{i}" for i in range(n)]
+    value = F.coalesce(x, F.lit(0.0))
+    at = by_ticker()
+    held = rows.select("ticker", "date", (F.row_number().over(at) - n).alias("p"), *[F.lag(value, n - i).over(at).alias(c) for i, c in enumerate(xs)]).where("p > 0")
+    held = staged(held.withColumn("n", F.count("*").over(Window.partitionBy("ticker"))))
+    many = held.where(F.col("n") >= least).drop("n")
+
+    def gap(name: str) -> Column:
+        return sum(((F.col(c) - F.get(name, F.lit(i))) * (F.col(c) - F.get(name, F.lit(i))) for i, c in enumerate(xs)), F.lit(0.0))
+
+    point = F.array(*xs)
+    mean = many.groupBy("ticker").agg(F.array(*[F.avg(c) for c in xs]).alias("mean"))
+    centres = many.join(mean, "ticker").groupBy("ticker").agg(F.min_by(point, F.struct(gap("mean"), "p")).alias("c0"))
+    for i in range(1, k):
+        nearest = F.least(F.lit(float("inf")), *[gap(f"c{j}") for j in range(i)])
+        centres = staged(centres.join(many.join(centres, "ticker").groupBy("ticker").agg(F.max_by(point, F.struct(nearest, -F.col("p"))).alias(f"c{i}")), "ticker"))
+    names = [f"c{i}" for i in range(k)]
+    place = F.array_min(F.array(*[F.struct(gap(c).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(names)]))["c"]
+    for _ in range(rounds):
+        sums = many.join(centres, "ticker").withColumn("c", place).groupBy("ticker").agg(*[F.array(*[F.avg(F.when(F.col("c") == i, F.col(x))) for x in xs]).alias(f"new{i}") for i in range(k)])
+        moved = centres.join(sums, "ticker").select("ticker", *[F.when(F.get(f"new{i}", F.lit(0)).isNull(), F.col(c)).otherwise(F.col(f"new{i}")).alias(c) for i, c in enumerate(names)], F.array(*names).alias("old"))
+        moved = staged(moved)
+        shift = moved.agg(F.max(F.aggregate(F.zip_with(F.flatten("old"), F.flatten(F.array(*names)), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: F.greatest(s, v)))).first()[0]
+        centres = moved.drop("old")
+        if not shift or shift < 1e-12:
+            break
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    ordered = F.transform(F.array_sort(F.array(*[F.struct(total(c).alias("s"), F.lit(i).alias("i"), F.col(c).alias("c")) for i, c in enumerate(names)])), lambda s: s["c"])
+    centres = centres.select("ticker", ordered.alias("ordered")).select("ticker", *[F.get("ordered", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    labelled = held.join(centres, "ticker", "left").select("ticker", "date", F.when(F.col("n") >= least, place).otherwise(0).cast("int").alias("cluster"))
+    return rows.select("ticker", "date").join(labelled, ["ticker", "date"], "left")
 
 
 def block_bootstrap(days: DataFrame, sims: int, block: int, seed: int = 42) -> DataFrame:

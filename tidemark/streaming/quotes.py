@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,44 @@ def sessions_of(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour"
     return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "total")
 
 
+def without_repeats(events: DataFrame, *keys: str, late: str = "1 hour") -> DataFrame:
+    """Events of which each key is met once within ``late``; as a stream the keys are state that a restart finds again."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if not events.isStreaming:
+        return rows.dropDuplicates(list(keys))
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def newest_date(spark: SparkSession, path: str) -> tuple[object, int | None]:
+    """The last date below ``path`` and the batch that wrote it, as the table itself says; nothing where there is no table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target) or not any(f.isDirectory() and f.getPath().getName().startswith("date=") for f in files.listStatus(target)):
+        return None, None
+    row = spark.read.parquet(path).agg(F.max(F.struct("date", "batch")).alias("last")).first()
+    return (row["last"]["date"], row["last"]["batch"]) if row["last"] else (None, None)
+
+
+def latest_date_sink(run: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes ``run`` of the rows of a batch's latest date below ``path``, only if that date is new.
+
+    The table is its own memory: the last date is read from it, so that nothing is lost when the driver is. A date is a
+    folder that is replaced as a whole; a batch that is run again, since it failed before Spark noted it, writes the same.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest = batch.agg(F.max("date")).first()[0]
+        known, written_by = newest_date(spark, path)
+        if latest is None or (known is not None and (latest < known or (latest == known and written_by != number))):
+            return
+        found = run(batch.where(F.col("date") == F.lit(latest)))
+        found = found.withColumns({"date": F.lit(latest), "batch": F.lit(number).cast("long")})
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+    return each
+
+
 def on_new_date(run: Callable[[DataFrame], None], column: str = "date") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that calls ``run`` with the rows of the latest date, only when that date is new."""
     seen: list = []
