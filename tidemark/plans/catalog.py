@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import EPS, change
 from tidemark.operators import panel, trend
 from tidemark.operators.labels import last_rows
-from tidemark.plans import books, cleaning, detectors, events, labels, live, models, neighbours, reasons, signals, validation
+from tidemark.plans import books, cleaning, detectors, events, filters, labels, live, models, neighbours, reasons, signals, validation
 from tidemark.plans import trend as trend_sql
 from tidemark.plans.rounding import roll_sql as _roll
 from tidemark.plans.rounding import round_sql as _round
@@ -194,5 +194,6 @@ ORACLES |= {
 for family in (cleaning, signals, validation, books, labels, live, models, neighbours, events, detectors):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
-QUERIES |= reasons.QUERIES
-ORACLES |= reasons.oracles(ORACLES)
+for family in (reasons, filters):
+    QUERIES |= family.QUERIES
+    ORACLES |= family.oracles(ORACLES)
