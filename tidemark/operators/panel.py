@@ -64,6 +64,14 @@ def winsorised(rows: DataFrame, x: str, low: float = 0.01, high: float = 0.99) -
     return rows.join(bounds, "date").withColumn(f"{x}_w", F.when(F.col(x).isNotNull(), F.greatest(F.get("q", F.lit(0)), F.least(F.get("q", F.lit(1)), F.col(x))))).drop("q")
 
 
+def winsorised_all(rows: DataFrame, names: tuple[str, ...], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """All of ``names`` clipped to their quantiles on each date: one aggregate and one join for all of them."""
+    at = F.array(F.lit(low), F.lit(high))
+    bounds = rows.groupBy("date").agg(*[F.percentile(x, at).alias(f"_q_{x}") for x in names])
+    clipped = {x: F.when(F.col(x).isNotNull(), F.greatest(F.get(f"_q_{x}", F.lit(0)), F.least(F.get(f"_q_{x}", F.lit(1)), F.col(x)))) for x in names}
+    return rows.join(bounds, "date").withColumns(clipped).drop(*[f"_q_{x}" for x in names])
+
+
 def rank_ic(rows: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
     """Spearman correlation of ``x`` and ``y`` on each date with at least so many pairs. Doubled, centred ranks are whole
     numbers; where their products add up to nothing the correlation is 0 and not what rounding leaves."""

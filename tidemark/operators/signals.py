@@ -80,11 +80,11 @@ def autocorrelations(bars: DataFrame, windows: tuple[int, ...] = (5, 20)) -> Dat
 
 
 def benchmark_residuals(rows: DataFrame, index: DataFrame, window: int = 60) -> DataFrame:
-    """``beta, alpha, beta_adjusted_residual, abs_residual`` of ``ret_1d`` against ``index(date, index_ret)``.
+    """``beta, alpha, beta_adjusted_residual, abs_residual`` of ``ret_1d`` against ``index([ticker,] date, index_ret)``.
 
     The line is fitted on the ``window`` joined rows before the current one. Rows without an index return keep nulls.
     """
-    joined = rows.join(index, "date").where(F.col("ret_1d").isNotNull() & F.col("index_ret").isNotNull())
+    joined = rows.join(index, [c for c in ("ticker", "date") if c in index.columns]).where(F.col("ret_1d").isNotNull() & F.col("index_ret").isNotNull())
     w = by_ticker().rowsBetween(-window, -1)
     full = F.count("index_ret").over(w) == window
     fit = joined.select("ticker", "date", "ret_1d", "index_ret", F.when(full, F.try_divide(F.covar_samp("ret_1d", "index_ret").over(w), F.var_samp("index_ret").over(w))).alias("beta"), F.avg("ret_1d").over(w).alias("mr"), F.avg("index_ret").over(w).alias("mi"))
@@ -94,6 +94,15 @@ def benchmark_residuals(rows: DataFrame, index: DataFrame, window: int = 60) ->
     return rows.join(fit, ["ticker", "date"], "left")
 
 
+def chosen_benchmark(rows: DataFrame, first: DataFrame, second: DataFrame, sector: str) -> DataFrame:
+    """``(ticker, date, index_ret)``: returns of the index ``first`` if it has any row, else those of ``second`` for the tickers of
+    one sector, and none for the others."""
+    there = first.limit(1).count() > 0
+    if there:
+        return rows.select("ticker", "date").join(first, "date")
+    return rows.where(F.col("sector") == sector).select("ticker", "date").join(second, "date")
+
+
 def momentum_family(bars: DataFrame) -> DataFrame:
     """Momenta, money flow, bands of highs and lows, ratios to averages, and volume's correlation with price."""
     h, lo, c, v = (F.col(x) for x in ("high", "low", "close", "volume"))

@@ -72,6 +72,24 @@ def event_gaps(rows: DataFrame, flag: str, least_total: int = 10, least: int = 3
     return found.where((F.col("total") >= least_total) & (F.col("n") >= least)).withColumn("cov", F.try_divide("std_gap", "mean_gap")).drop("total")
 
 
+def event_gap_means(rows: DataFrame, flags: tuple[str, ...], least_total: int = 10, least: int = 3) -> DataFrame:
+    """Per flag the means over tickers of what ``event_gaps`` says of each, and how many tickers there are; flags of fewer than
+    ``least_total`` rows and tickers of fewer than ``least`` are left out. All flags go in one pass."""
+    events = rows.unpivot(["ticker", "date"], list(flags), "flag", "on").where(F.col("on") == 1)
+    order = Window.partitionBy("flag", "ticker").orderBy("date")
+    events = events.withColumn("gap", F.datediff("date", F.lag("date").over(order)))
+    found = events.groupBy("flag", "ticker").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.percentile("gap", 0.5).alias("median_gap"), F.stddev_samp("gap").alias("std_gap"))
+    found = found.withColumn("total", F.sum("n").over(Window.partitionBy("flag"))).where((F.col("total") >= least_total) & (F.col("n") >= least))  # a row per flag and ticker
+    found = found.withColumn("cov", F.try_divide("std_gap", "mean_gap"))
+    return found.groupBy("flag").agg(F.count("*").alias("n_tickers"), *[F.avg(x).alias(x) for x in ("mean_gap", "median_gap", "std_gap", "cov")])
+
+
+def tilt(rows: DataFrame, rank: str, x: str, share: float = 0.1) -> DataFrame:
+    """Mean of ``x`` among the highest ranks less that among the lowest."""
+    top, low = F.avg(F.when(F.col(rank) >= 1 - share, F.col(x))), F.avg(F.when(F.col(rank) <= share, F.col(x)))
+    return rows.agg(top.alias("top"), low.alias("low")).withColumn("tilt", F.col("top") - F.col("low"))
+
+
 def two_proportions(rows: DataFrame, flag: str, group: str) -> DataFrame:
     """Rates of a flag inside and outside a group, their ratio, z and the two-sided probability."""
     n1, n0 = F.count_if(F.col(group) == 1), F.count_if(F.col(group) == 0)

@@ -11,7 +11,7 @@ from tidemark.operators.cleaning import number
 from tidemark.plans.rounding import roll_sql
 from tidemark.plans.rounding import round_off_ties_sql as round_sql
 from tidemark.plans.rounding import rounded_off_ties as rounded
-from tidemark.plans.trend import MARKET_BETA
+from tidemark.plans.trend import MARKET_BETA, MICRO_SQL, OSCILLATOR_SQL
 from tidemark.sources.bars import BARS_SQL, daily_bars
 
 HORIZONS = (1, 3, 5)
@@ -122,13 +122,16 @@ def interest_before_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.groupBy("expiry", "symbol").agg(F.count("*").alias("n"), F.sum("open_interest").alias("open_interest")), "open_interest")
 
 
-BASE = ("ret_1d", "ret_5d", "ret_20d", "momentum_12_1", "momentum_60d", "vol_20d", "volume_ratio_20", "delivery_pct", "range_position_52w", "amihud_illiq")
+BASE = ("ret_1d", "ret_5d", "ret_20d", "momentum_12_1", "momentum_60d", "vol_20d", "volume_ratio_20", "delivery_pct", "range_position_52w", "amihud_illiq", "rsi_14", "delivery_pct_z20")
 WHOLE = tuple(f"xs_{k}_{c}" for k in ("rank", "z") for c in BASE) + ("market_ret_1d", "market_ret_5d", "excess_ret_1d", "excess_ret_5d", "sector_ret_1d", "sector_ret_5d", "vs_sector_ret_1d", "vs_sector_ret_5d", "sector_rank_abs_ret", "sector_rank_volume")
 
 
 def whole_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks and z-scores of all base columns on each date, returns against the market and the sector, and ranks within it."""
-    rows = panel.price_features(daily_bars(spark, sf_dir)).withColumn("momentum_60d", F.col("ret_60d"))
+    bars = daily_bars(spark, sf_dir)
+    rows = panel.price_features(bars).withColumn("momentum_60d", F.col("ret_60d"))
+    for name, more in (("rsi_14", trend.oscillators(bars)), ("delivery_pct_z20", trend.microstructure(bars))):
+        rows = rows.join(more.select("ticker", "date", F.round(name, 6).alias(name)), ["ticker", "date"], "left")
     day, group = Window.partitionBy("date"), Window.partitionBy("date", "sector")
     out = rows.withColumns({f"xs_rank_{c}": percent_rank(F.col(c), "date") for c in BASE} | {f"xs_z_{c}": (F.col(c) - F.avg(c).over(day)) / (F.stddev_samp(c).over(day) + EPS) for c in BASE})
     out = out.withColumns({f"{k}_ret_{n}d": F.avg(f"ret_{n}d").over(w) for n in (1, 5) for k, w in (("market", day), ("sector", group))})
@@ -244,7 +247,7 @@ SELECT ticker, date, round(1.2345678e-7 + coalesce(quote, close), 6) + 0.0 AS pr
     "interest_before_expiry": f"""WITH m AS (SELECT CAST(range AS DATE) AS mo FROM range(DATE '1995-01-15', DATE '1996-12-16', INTERVAL 1 MONTH)), e AS (SELECT {_LAST_THURSDAY.format(d='mo')} AS expiry FROM m),
 o AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT expiry, symbol, count(*) AS n, round(1.2345678e-7 + sum(q), 6) + 0.0 AS open_interest FROM o JOIN e ON date >= expiry - 10 AND date <= expiry AND isodow(date) < 6 GROUP BY ALL""",
     "whole_cross_section": f"""{_F}, x AS (SELECT *, {_XS_COLUMNS}, {', '.join(f'avg(ret_{n}d) OVER d AS market_ret_{n}d, ret_{n}d - avg(ret_{n}d) OVER d AS excess_ret_{n}d, avg(ret_{n}d) OVER g AS sector_ret_{n}d, ret_{n}d - avg(ret_{n}d) OVER g AS vs_sector_ret_{n}d' for n in (1, 5))},
-  {_prank('abs(ret_1d)', 'date, sector')} AS sector_rank_abs_ret, {_prank('volume_ratio_20', 'date, sector')} AS sector_rank_volume FROM c WINDOW d AS (PARTITION BY date), g AS (PARTITION BY date, sector)) SELECT ticker, date, {round_sql(WHOLE)} FROM x""",
+  {_prank('abs(ret_1d)', 'date, sector')} AS sector_rank_abs_ret, {_prank('volume_ratio_20', 'date, sector')} AS sector_rank_volume FROM (SELECT c.*, rsi_14, delivery_pct_z20 FROM c LEFT JOIN ({OSCILLATOR_SQL}) o ON o.ticker = c.ticker AND o.date = c.date LEFT JOIN ({MICRO_SQL}) m ON m.ticker = c.ticker AND m.date = c.date) WINDOW d AS (PARTITION BY date), g AS (PARTITION BY date, sector)) SELECT ticker, date, {round_sql(WHOLE)} FROM x""",
     "more_windows": f"""{_F}, w AS (SELECT *, {roll_sql('stddev_samp', 'vol_20d', 60)} AS vol_of_vol, ret_5d - avg(ret_5d) OVER (PARTITION BY date, sector) AS stock_vs_sector_return_5d, CASE WHEN day(date) <> 13 THEN ret_5d - avg(ret_5d) OVER (PARTITION BY date) END AS stock_vs_index_return_5d FROM c) SELECT ticker, date, {round_sql(MORE)} FROM w""",
     "reason_table": f"""WITH {BARS_SQL}, z AS (SELECT *, (volume - {roll_sql('avg', 'volume', 20)}) / nullif({roll_sql('stddev_samp', 'volume', 20)}, 0) AS z, CASE WHEN high > low THEN CASE WHEN close >= open THEN (high - close) / (high - low) ELSE (close - low) / (high - low) END END AS rv, high / low - 1 AS cp FROM bars),
 t AS (SELECT ticker, date, concat_ws(' ', CASE WHEN z > 2 THEN 'Volume is ' || CAST(round(z, 1) AS VARCHAR) || ' deviations above its mean.' END, CASE WHEN delivery_pct < 0.3 THEN 'Delivery fell to ' || CAST(round(delivery_pct * 100, 1) AS VARCHAR) || ' %.' END,
