@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import percent_rank
@@ -99,11 +99,52 @@ def walk_forward_ensemble(rows: DataFrame, names: tuple[str, ...], y: str, folds
     train = parts.where("role = 'train'").unpivot(["fold", *names], marks, "tail", "label").where("label is not null")
     models = joint_logistic(train, names, ("fold", "tail"))
     test = parts.where("role = 'test'").select("ticker", "date", "fold", *names).join(F.broadcast(models), "fold")
-    margin = sum((F.get("weights", F.lit(i + 1)) * F.col(x) for i, x in enumerate(names)), F.get("weights", F.lit(0)))
-    ranked = test.withColumn("m", margin).withColumn("r", percent_rank(F.round("m", 12), "date", "tail"))
+    ranked = test.withColumn("m", _margin(names)).withColumn("r", percent_rank(F.round("m", 12), "date", "tail"))
     return ranked.groupBy("ticker", "date", "fold").agg(F.avg("r").alias("p"))
 
 
+def _margin(names: tuple[str, ...], weights: str = "weights") -> Column:
+    return sum((F.get(weights, F.lit(i + 1)) * F.col(x) for i, x in enumerate(names)), F.get(weights, F.lit(0)))
+
+
+def meta_labelled(rows: DataFrame, names: tuple[str, ...], y: str, folds: int = 6, purge: int = 3, least: int = 300, tail: float = 0.3) -> DataFrame:
+    """``(ticker, date, fold, primary, confidence, p)``: scores drawn to the middle where a second model expects the first to be wrong.
+
+    ``primary`` is the rank on its date of the first model's score. On the training rows it is right if it is above a half
+    for winners or not above it for losers; the second model learns that from the features and ``primary``, and ``p`` is
+    ``0.5 + (primary - 0.5) * confidence``. Both are fitted for all folds at once.
+    """
+    mark = f"label_{round(100 * tail)}"
+    panel = staged(with_tails(rows.select("ticker", "date", y, *names).fillna(0.0, list(names)), y, (tail,)).drop(y))
+    parts = staged(walk_forward(panel, folds, purge, least))
+    first = joint_logistic(parts.where(f"role = 'train' and {mark} is not null").withColumnRenamed(mark, "label"), names, ("fold",))
+    scored = parts.join(F.broadcast(first), "fold").withColumn("m", F.round(_margin(names), 12)).drop("weights", "n")
+    scored = staged(scored.withColumn("primary", percent_rank(F.col("m"), "fold", "role", "date")).drop("m"))
+    right = ((F.col("primary") > 0.5) == (F.col(mark) == 1)).cast("int")
+    second = joint_logistic(scored.where(f"role = 'train' and {mark} is not null").withColumn("label", right), (*names, "primary"), ("fold",))
+    test = scored.where("role = 'test'").join(F.broadcast(second), "fold").withColumn("confidence", 1 / (1 + F.exp(-_margin((*names, "primary")))))
+    return test.select("ticker", "date", "fold", "primary", "confidence", (0.5 + (F.col("primary") - 0.5) * F.col("confidence")).alias("p"))
+
+
+def compared(scores: dict[str, DataFrame], panel: DataFrame, y: str, lag: int = 2) -> DataFrame:
+    """``(config, n_days, mean_ic, t, beta_tilt)`` of named scores ``(ticker, date, p)`` against ``panel(ticker, date, beta, y)``."""
+    out = None
+    for name, found in scores.items():
+        named = found.select(F.lit(name).alias("config"), "ticker", "date", "p")
+        out = named if out is None else out.unionByName(named)
+    rows = staged(out.join(panel.select("ticker", "date", "beta", y), ["ticker", "date"]).where(F.col(y).isNotNull() & F.col("p").isNotNull()))
+    ranked = rows.withColumns({"a": percent_rank(F.col("p"), "config", "date"), "b": percent_rank(F.col(y), "config", "date")})
+    ics = ranked.groupBy("config", "date").agg(F.count("*").alias("n"), F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("ic")).where("n >= 10 and ic is not null")
+    by_config = Window.partitionBy("config")
+    ics = ics.withColumn("e", F.col("ic") - F.avg("ic").over(by_config))
+    ics = ics.withColumns({f"g{k}": F.col("e") * F.lag("e", k).over(by_config.orderBy("date")) for k in range(1, lag + 1)})  # a row per date
+    total = sum((2 * (1 - k / (lag + 1)) * F.coalesce(F.sum(f"g{k}"), F.lit(0.0)) for k in range(1, lag + 1)), F.sum(F.col("e") * F.col("e")))
+    curve = ics.groupBy("config").agg(F.count("*").alias("n_days"), F.avg("ic").alias("mean_ic"), total.alias("total"))
+    curve = curve.withColumn("t", F.col("mean_ic") / F.sqrt(F.greatest(F.col("total") / F.col("n_days"), F.lit(1e-16)) / F.col("n_days"))).drop("total")
+    tilt = ranked.groupBy("config").agg((F.avg(F.when(F.col("a") >= 0.9, F.col("beta"))) - F.avg(F.when(F.col("a") <= 0.1, F.col("beta")))).alias("beta_tilt"))
+    return curve.join(tilt, "config")
+
+
 def fitted_trees(rows: DataFrame, names: tuple[str, ...], labels: tuple[str, ...], seeds: tuple[int, ...] = SEEDS, **more: float) -> list[GBTClassificationModel]:
     """A boosted model for each label and seed on staged ``rows``; Spark runs their jobs side by side."""
     held = staged(VectorAssembler(inputCols=list(names), outputCol="features").transform(rows.fillna(0.0, list(names))).select("features", *labels))

@@ -21,6 +21,25 @@ def walk_forward_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(training.walk_forward_ensemble(rows, NAMES, "fwd_3d"), "p")
 
 
+def meta_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = label_plans.rows_of(spark, sf_dir).select("ticker", "date", "fwd_3d", *NAMES)
+    found = training.meta_labelled(rows, NAMES, "fwd_3d")
+    return rounded(found, "primary", "confidence", "p")
+
+
+def config_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations side by side: as they are, features clipped by date, scores free of beta and sectors, blended with a rank."""
+    rows = staged(label_plans.rows_of(spark, sf_dir).select("ticker", "sector", "date", "beta", "fwd_3d", *NAMES))
+    plain = staged(training.walk_forward_ensemble(rows, NAMES, "fwd_3d"))
+    clipped = training.walk_forward_ensemble(panel.winsorised_all(rows, NAMES), NAMES, "fwd_3d")
+    scored = plain.join(rows.select("ticker", "date", "sector", "beta"), ["ticker", "date"])
+    fit = labels.neutralise_fit(scored, "p", "beta", "date")
+    free = labels.neutralise(scored, fit, "p", "beta", "date").select("ticker", "date", F.col("neutral").alias("p"))
+    mixed = models.blended(plain, rows.select("ticker", "date", F.col("delivery_pct").alias("q")))
+    found = training.compared({"plain": plain, "clipped": clipped, "neutral": free, "blended": mixed}, rows, "fwd_3d")
+    return rounded(found, "mean_ic", "t", "beta_tilt", digits=5)
+
+
 def _last_block(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The last of six folds: rows to learn from, and those to score."""
     rows = label_plans.rows_of(spark, sf_dir).select("ticker", "date", "fwd_3d", *NAMES)
@@ -66,7 +85,7 @@ def ranking_summary(spark: SparkSession, sf_dir: str, trials: int = 20) -> DataF
     return rounded(found.withColumn("deflated_t", F.col("t") - validation.expected_best(trials)).select("n_days", *SUMMARY), *SUMMARY)
 
 
-QUERIES = {q.__name__: q for q in (walk_forward_linear, score_contributions, pattern_cluster_table, bootstrap_paths, ranking_summary)}
+QUERIES = {q.__name__: q for q in (walk_forward_linear, meta_labels, config_comparison, score_contributions, pattern_cluster_table, bootstrap_paths, ranking_summary)}
 
 _PRANK = label_plans._prank
 ORACLES = {
