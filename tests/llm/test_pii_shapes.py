@@ -18,3 +18,17 @@ def test_patterns_propose_addresses_without_digits_and_cut_long_runs(spark):
         assert got == [want] if want else not got, (text, got)
     masked = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
     assert "write to <EMAIL> one" in masked[0] and "address <IP> one" in masked[4]
+
+
+def test_masking_by_join_equals_masking_in_one_scan(spark, monkeypatch):
+    """With more believed patterns than tasks carry; repeated rows, nulls and columns named like the join's own."""
+    fill = "one two three four"
+    texts = [f"{fill} please write to jane{chr(97 + i)}@example.org {fill}" for i in range(8)] + [f"{fill} please write to jane (at) example.org {fill}", None, "", "no data", "10.0.0.1"]
+    rows = [(i, t, i, "x", 0, len(t or "")) for i, t in enumerate(texts)] + [(3, texts[3], 3, "x", 0, 0), (None, texts[4], None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int, row string, spans int, n_chars int").repartition(3)
+    key = lambda r: tuple(map(str, r))
+    carried = sorted(pii.redacted(docs).collect(), key=key)
+    monkeypatch.setattr(pii, "CARRIED", 0)
+    joined = pii.redacted(docs)
+    assert joined.columns == docs.columns and sorted(joined.collect(), key=key) == carried
+    assert any("<EMAIL>" in (r.text or "") for r in carried) and pii.redacted(docs.limit(0)).collect() == []

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.staging import SPACES, batches, staged
 
 KINDS = ("email", "ip", "card", "phone")
+#: Believed patterns that every task carries when texts are masked; with more of them rows and patterns are joined.
+CARRIED = 1 << 16
 # The fixed forms; a run is only tried from its first character or from where the last match ended, which finds the
 # same matches in linear time.
 _EMAIL = regex.compile(r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -315,14 +317,15 @@ def confident_patterns(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame
     return staged(best.select("pattern", (-F.col("best.k")).cast("int").alias("kind"), F.col("best.confidence").alias("confidence")), "best")
 
 
-def spans_of(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
+def spans_of(docs: DataFrame, b: Bootstrap = Bootstrap(), row: F.Column | None = None) -> DataFrame:
     """``(doc_id, row, base, found)``: spans ``(kind, start, stop)`` of the fixed forms, and those that patterns add.
 
-    A null or empty text has no spans. Rows are told apart by ``row``, so repeated ids do no harm; an empty table gives
+    A null or empty text has no spans. Rows are told apart by ``row``, numbered here if not given, so repeated ids do no harm; an empty table gives
     an empty result. Found spans overlap no fixed form.
     """
     patterns = confident_patterns(docs, b)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    number = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
     open_kind = pa.struct([("pattern", pa.int64()), ("code", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
@@ -354,11 +357,9 @@ def redacted(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
     by the first.
     """
     spoken = confident_patterns(docs, b)
-    limit = 1 << 16
-    n = spoken.limit(limit + 1).count()
-    if n > limit:
+    if spoken.limit(CARRIED + 1).count() > CARRIED:
         return _redacted_by_join(docs, b)
-    kinds = {r["pattern"]: r["kind"] for r in spoken.collect()}  # at most ``limit`` rows; more are joined
+    kinds = {r["pattern"]: r["kind"] for r in spoken.collect()}  # at most CARRIED rows; more are joined
     at, schema = docs.schema.fieldNames().index("text"), docs.schema
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,13 +371,19 @@ def redacted(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
 
 
 def _redacted_by_join(docs: DataFrame, b: Bootstrap) -> DataFrame:
+    """``redacted`` for more patterns than tasks carry: rows get a number that is written with them, and meet their spans by it."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    whole = staged(docs.select(row, F.col("doc_id"), F.col("text")), "redact")
-    spans = spans_of(whole, b).select("row", F.concat("base", "found").alias("spans"))
-    mask = F.udf(lambda t, s: _masked(t, [(x["start"], x["kind"], x["stop"]) for x in s]) if t else t, "string")
-    pair = whole.select(F.monotonically_increasing_id().alias("__row"), F.col("row").alias("__doc")).join(spans.withColumnRenamed("row", "__row"), "__row")
-    plain = pair.select("__doc", mask(F.col("__doc.text"), "spans").alias("__text"))
-    return _counted(plain.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]))
+    whole = staged(docs.select(F.monotonically_increasing_id().alias("at"), row, F.col("doc_id"), F.col("text")), "redact")
+    spans = spans_of(whole, b, F.col("at")).select(F.col("row").alias("at"), F.concat("base", "found").alias("spans"))
+    pairs = whole.select("at", F.col("text").cast("string").alias("text"), "row").join(spans, "at").select("text", "spans", "row")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            texts = [_masked(t, [(x["start"], x["kind"], x["stop"]) for x in s]) if t else t for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "row"])
+
+    plain = pairs.mapInArrow(run, whole.select("text", "row").schema)
+    return _counted(plain.select(*[F.col("text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
