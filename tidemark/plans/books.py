@@ -134,10 +134,15 @@ def signal_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 STARTS, KEEPS, BOOK = (0, 5), (0.75, 0.9), 10
 
 
+def _percent(df: DataFrame) -> DataFrame:
+    """``keep`` in percent, a whole number."""
+    return df.withColumn("keep", F.round(F.col("keep") * 100).cast("int"))
+
+
 def partial_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of each book at each review, and how many came or went."""
     found = books.refilled(ranked(spark, sf_dir), HOLD, STARTS, KEEPS, BOOK)
-    return found.select("start", "keep", "i", F.array_join(F.array_sort("names"), " ").alias("names"), "changed")
+    return _percent(found).select("start", "keep", "i", F.array_join(F.array_sort("names"), " ").alias("names"), "changed")
 
 
 def partial_rebalance_book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +150,7 @@ def partial_rebalance_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = ranked(spark, sf_dir)
     found = books.refilled(x, HOLD, STARTS, KEEPS, BOOK).select("start", "keep", "i", F.size("names").alias("n"), F.explode("names").alias("ticker"))
     positions = books.held(found.withColumn("weight", 1.0 / F.col("n")).select("i", "ticker", "weight", "start", "keep"), HOLD, keys=("start", "keep"))
-    return rounded(books.daily_returns(positions, x, keys=("start", "keep")), "ret")
+    return rounded(books.daily_returns(positions, x, keys=("start", "keep")).transform(_percent), "ret")
 
 
 REGIME = ("trend_20", "vol_20", "breadth_20", "fall")
@@ -275,9 +280,9 @@ e AS (SELECT h, date, ic, ic - avg(ic) OVER (PARTITION BY h) AS e FROM c WHERE i
 m AS (SELECT h, count(*) AS n_days, avg(ic) AS mean_ic, avg(ic) / sqrt(greatest((sum(e * e) + {_DECAY_TOTAL}) / count(*), 1e-16) / count(*)) AS t FROM g GROUP BY h HAVING count(*) >= 30),
 k AS (SELECT arg_max(h, mean_ic) AS peak_h, max(mean_ic) AS top FROM m), f AS (SELECT min(h) AS half_life FROM m, k WHERE h > peak_h AND mean_ic <= top / 2)
 SELECT h, n_days, round(1.2345678e-7 + mean_ic, 6) + 0.0 AS mean_ic, round(1.2345678e-7 + t, 6) + 0.0 AS t, round(1.2345678e-7 + mean_ic / top, 6) + 0.0 AS of_peak, peak_h, half_life FROM m, k, f""",
-    "partial_rebalance": f"""{_X}, {_PARTIAL} SELECT CAST(start AS INTEGER) AS start, keep, CAST(i AS INTEGER) AS i, array_to_string(list_sort(names), ' ') AS names, changed FROM b WHERE k > 0""",
+    "partial_rebalance": f"""{_X}, {_PARTIAL} SELECT CAST(start AS INTEGER) AS start, CAST(round(keep * 100) AS INTEGER) AS keep, CAST(i AS INTEGER) AS i, array_to_string(list_sort(names), ' ') AS names, changed FROM b WHERE k > 0""",
     "partial_rebalance_book": f"""{_X}, {_PARTIAL}, h AS (SELECT start, keep, unnest(names) AS ticker, i, len(names) AS n FROM b WHERE k > 0), r AS (SELECT start, keep, h.i + j.range AS s, sum(move / n) AS ret FROM h, range({HOLD}) j, mv WHERE mv.ticker = h.ticker AND mv.s = h.i + j.range GROUP BY ALL),
-t AS (SELECT DISTINCT start, keep FROM b WHERE k > 0) SELECT CAST(t.start AS INTEGER) AS start, t.keep, CAST(d.i AS INT) AS i, d.date, round(1.2345678e-7 + coalesce(ret, 0), 6) + 0.0 AS ret FROM t CROSS JOIN d LEFT JOIN r ON r.start = t.start AND r.keep = t.keep AND r.s = d.i""",
+t AS (SELECT DISTINCT start, keep FROM b WHERE k > 0) SELECT CAST(t.start AS INTEGER) AS start, CAST(round(t.keep * 100) AS INTEGER) AS keep, CAST(d.i AS INT) AS i, d.date, round(1.2345678e-7 + coalesce(ret, 0), 6) + 0.0 AS ret FROM t CROSS JOIN d LEFT JOIN r ON r.start = t.start AND r.keep = t.keep AND r.s = d.i""",
     "market_regimes": f"{_REGIMES} SELECT date, {round_sql(REGIME)} FROM rg",
     "regime_filtered_book": f"""{_REGIMES}, bk AS (SELECT date, avg(fwd_3d) AS book FROM x WHERE xs_rank >= 0.9 AND fwd_3d IS NOT NULL GROUP BY date), ct AS (SELECT median(vol_20) AS cut FROM rg WHERE vol_20 IS NOT NULL)
 SELECT vol_20 > cut AS wild, count(*) AS n, round(1.2345678e-7 + avg(book), 6) + 0.0 AS mean_book, round(1.2345678e-7 + avg(CAST(book > 0 AS INT)), 6) + 0.0 AS win_rate FROM bk JOIN rg USING (date), ct WHERE vol_20 IS NOT NULL GROUP BY 1""",
