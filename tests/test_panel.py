@@ -38,7 +38,8 @@ def test_query_equals_sql(spark, duck, name):
         if pd.api.types.is_numeric_dtype(theirs[c]):
             assert np.allclose(ours[c].astype(float), theirs[c].astype(float), atol=2e-6, rtol=1e-9, equal_nan=True), c
         else:
-            assert (ours[c].astype(str).str[:10] == theirs[c].astype(str).str[:10]).all(), c
+            text = [frame[c].astype(str).str[:10].where(frame[c].notna(), "") for frame in (ours, theirs)]  # missing dates read differently
+            assert (text[0] == text[1]).all(), c
 
 
 def test_classes_at_their_bounds(spark):
