@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import EPS, change
 from tidemark.operators import panel, trend
 from tidemark.operators.labels import last_rows
-from tidemark.plans import books, cleaning, context, detectors, events, filters, labels, live, models, neighbours, reasons, signals, validation
+from tidemark.plans import books, cleaning, context, detectors, events, filters, labels, live, models, neighbours, outcomes, reasons, signals, validation
 from tidemark.plans import trend as trend_sql
 from tidemark.plans.rounding import roll_sql as _roll
 from tidemark.plans.rounding import round_sql as _round
@@ -191,7 +191,7 @@ ORACLES |= {
     "rank_ic_significance": trend_sql.newey_west_sql(ORACLES["daily_rank_ic"]),
     "top_decile_book": trend_sql.book_sql(_XS),
 }
-for family in (cleaning, signals, validation, books, labels, live, models, neighbours, events, detectors, context):
+for family in (cleaning, signals, validation, books, labels, live, models, neighbours, events, detectors, context, outcomes):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
 for family in (reasons, filters):
