@@ -34,6 +34,44 @@ def test_tables_by_ticker_and_caches(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).first().m.best == 2.0
 
 
+def test_bars_within_days(spark, tmp_path):
+    for name in ("ABC.NS_5m", "IDX_NSEI_5m", "ABC.NS_1h"):
+        (tmp_path / f"{name}.csv").write_text("at,open,high,low,close,volume\n2024-01-02 09:15:00,1,2,0.5,1.5,100\n2024-01-02 09:20:00,1,2,0.5,,\n")
+    got = files.intraday_bars(spark, str(tmp_path)).orderBy("ticker", "at").collect()
+    assert [(r.ticker, r.at.minute) for r in got] == [("ABC.NS", 15), ("ABC.NS", 20), ("^NSEI", 15), ("^NSEI", 20)]
+    assert files.intraday_bars(spark, str(tmp_path), "1m").count() == 0
+
+
+def test_daily_files_of_some_symbols(spark, tmp_path):
+    for day in ("2024-01-05", "2024-01-06", "2024-01-08", "2024-01-10", "2023-12-29", "notes-of-day"):
+        (tmp_path / f"{day}.csv").write_text("symbol,close\n ABC ,1.5\nXYZ,2\n,3\n")
+    symbols = spark.createDataFrame([("ABC.NS",), ("ABC",), (" QQQ",), (None,)], "symbol string")
+    got = files.daily_files(spark, str(tmp_path), "2024-01-01", "2024-01-09", symbols, "symbol string, close double")
+    assert sorted((r.date.day, r.symbol, r.close) for r in got.collect()) == [(5, "ABC", 1.5), (8, "ABC", 1.5)]
+
+
+def test_sorted_tables_panels_and_predictions(spark, tmp_path):
+    rows = spark.createDataFrame([(f"T{i % 7}", DAY + dt.timedelta(days=i), float(i)) for i in range(70)], "ticker string, date date, close double")
+    files.save_sorted(rows.repartition(5), str(tmp_path / "s"), "ticker", "date")
+    parts = {}
+    for r in spark.read.parquet(str(tmp_path / "s")).select("*", "_metadata.file_name").collect():
+        parts.setdefault(r.file_name, []).append((r.ticker, r.date))
+    spans = sorted((p[0], p[-1]) for p in parts.values())
+    assert all(p == sorted(p) for p in parts.values()) and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    schema = "ticker string, date date, close double"
+    assert files.load_panel(spark, str(tmp_path / "s"), schema).count() == 70
+    files.save_report(rows, str(tmp_path / "p.csv"))
+    assert sorted(files.load_panel(spark, str(tmp_path / "p"), schema).collect()) == sorted(rows.collect())
+    assert files.load_panel(spark, str(tmp_path / "none"), schema).count() == 0
+    predictions = spark.createDataFrame([("T1", DAY + dt.timedelta(days=1), 0.7, -1.0), ("T9", DAY, 0.2, -2.0)], "ticker string, date date, p double, close double")
+    panel = rows.withColumn("vol", F.col("close") * 2)
+    assert sorted((r.ticker, r.p, r.close, r.vol) for r in files.on_panel(predictions, panel).collect()) == [("T1", 0.7, -1.0, 2.0), ("T9", 0.2, -2.0, None)]
+    files.save_lines(spark.createDataFrame([(3, None)], "n_consensus int, note string"), str(tmp_path / "l"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "l")).collect()] == ["n_consensus: 3", "note: "]
+    files.save_metrics(spark.createDataFrame([(0.5, None)], "ic double, note string"), str(tmp_path / "m"))
+    assert files.load_metrics(spark, str(tmp_path / "m"), "ic double, note string").first().ic == 0.5
+
+
 def test_weekdays(spark):
     assert [r.date.day for r in files.weekdays_between(spark, "2024-01-05", "2024-01-09").collect()] == [5, 8, 9]
 
