@@ -152,7 +152,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, preference: Column | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; columns as in ``docs``."""
+    """The rows of ``docs``, each as often as the mix takes it; columns as in ``docs`` (names without backticks).
+
+    A text without words adds nothing to a mix and is left out, null among them. Repeated rows are taken alike, and so are
+    rows of a null source, which is a source of its own. An empty table gives an empty mix.
+    """
     plan, n_sources = plan_mix(staged(sized(docs, seed, preference), "sized"), weights, share, cap)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     chosen = by_size(n_words(F.col("text"))) if preference is None else F.greatest(F.lit(0.0), F.coalesce(preference.cast("double"), F.lit(1.0)))

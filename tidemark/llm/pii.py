@@ -353,8 +353,8 @@ def joined(spans: str) -> F.Column:
 def redacted(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, ``n_chars`` (where there is one) counted anew.
 
-    All rows and columns stay; a text without spans stays as it is, null included. Overlapping spans make one, named
-    by the first.
+    All rows and columns stay (names without dots or backticks); a text without spans stays as it is, null included. Overlapping
+    spans make one, named by the first. Repeated rows come out alike; an empty table stays empty.
     """
     spoken = confident_patterns(docs, b)
     if spoken.limit(CARRIED + 1).count() > CARRIED:
@@ -371,7 +371,10 @@ def redacted(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
 
 
 def _redacted_by_join(docs: DataFrame, b: Bootstrap) -> DataFrame:
-    """``redacted`` for more patterns than tasks carry: rows get a number that is written with them, and meet their spans by it."""
+    """``redacted`` for more patterns than tasks carry: rows get a number that is written with them, and meet their spans by it.
+
+    Null texts, repeated rows, empty tables and other columns are treated as there.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     whole = staged(docs.select(F.monotonically_increasing_id().alias("at"), row, F.col("doc_id"), F.col("text")), "redact")
     spans = spans_of(whole, b, F.col("at")).select(F.col("row").alias("at"), F.concat("base", "found").alias("spans"))

@@ -124,7 +124,11 @@ def repetition_report(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def accepted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that ``repetition_report`` keeps, with all their columns, in one scan."""
+    """The rows of ``docs`` that ``repetition_report`` keeps, with all their columns, in one scan.
+
+    Null and empty texts go, having too few words. Repeated rows stay or go alike; an empty table stays empty; other
+    columns are carried along (their names hold no dots or backticks).
+    """
     schema = docs.schema
     at = schema.fieldNames().index("text")
 
