@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each reads what its predecessor wrote."""
+"""A corpus pipeline of five stages; each reads what its predecessor wrote.
+
+An empty table passes every stage as an empty one, and all but the last carry other columns along, if their
+names hold no dots or backticks.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go, null and empty texts among them."""
+    """Documents that the repetition rules reject go, null and empty texts among them; repeated rows stay or go alike."""
     return quality.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each class of near copies stays: five-word shingles, similarity 0.8 or more.
+
+    Null and empty texts are one class; rows without an id stay; of repeated rows one stays.
+    """
     return near_copies.near_dedup(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; every document stays."""
+    """Personal data is replaced by its kind; every document stays, null texts as they are."""
     return pii.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; those without words, null among them, not at all."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences; a null text is its closing id alone, repeated rows are packed each."""
     return packing.pack(docs)
 
 
