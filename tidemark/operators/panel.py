@@ -73,13 +73,14 @@ def winsorised_all(rows: DataFrame, names: tuple[str, ...], low: float = 0.01, h
 
 
 def rank_ic(rows: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
-    """Spearman correlation of ``x`` and ``y`` on each date with at least so many pairs. Doubled, centred ranks are whole
-    numbers; where their products add up to nothing the correlation is 0 and not what rounding leaves."""
+    """Spearman correlation of ``x`` and ``y`` on each date with at least so many pairs; null where one of them is the same
+    throughout. Doubled, centred ranks are whole numbers, so that products which add up to nothing give exactly 0."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.select("date", percent_rank(F.col(x), "date").alias("rx"), percent_rank(F.col(y), "date").alias("ry"), F.count("*").over(Window.partitionBy("date")).alias("m"))
     whole = lambda r: F.round(2 * F.col(r) * F.col("m") - F.col("m") - 1)
-    found = ranked.groupBy("date").agg(F.count("*").alias("n"), F.sum(whole("rx") * whole("ry")).alias("products"), F.corr("rx", "ry").alias("ic"))
-    return found.where(F.col("n") >= least).select("date", "n", F.when(F.col("products") == 0, F.col("ic") * 0).otherwise(F.col("ic")).alias("ic"))
+    wx, wy = whole("rx"), whole("ry")
+    found = ranked.groupBy("date").agg(F.count("*").alias("n"), F.sum(wx * wy).alias("xy"), F.sum(wx * wx).alias("xx"), F.sum(wy * wy).alias("yy"))
+    return found.where(F.col("n") >= least).select("date", "n", F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("ic"))
 
 
 def score_buckets(rows: DataFrame, y: str) -> DataFrame:
