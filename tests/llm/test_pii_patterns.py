@@ -56,3 +56,11 @@ def test_followers_stop_where_the_pattern_is_settled():
     for w in WORDS:
         behind.add(f"of the {w}")
     assert behind.taken().num_rows == 5 and behind.held == 0
+
+
+def test_one_look_at_a_text_gives_fixed_forms_and_occurrences():
+    from tidemark.llm import pii
+
+    b = pii.Bootstrap()
+    for text in ("", "plain words only", "mail to a.b@c.org or +49 30 1234567 now", "his number is 7712345 and 4111 1111 1111 1111 here", "host 10.0.0.7 or x [at] y.org"):
+        assert pii.seeds_and_occurrences(text, b) == (pii.base_spans(text), pii.occurrences(text, b))

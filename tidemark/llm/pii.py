@@ -167,9 +167,14 @@ def addresses(text: str) -> list[tuple[int, int, int]]:
 
 def occurrences(text: str, b: Bootstrap) -> list[tuple[int, int, int, int, int]]:
     """``(start, stop, kind or code, pattern, instance)`` of all seeds and of all that may be an identifier beside them."""
+    return seeds_and_occurrences(text, b)[1]
+
+
+def seeds_and_occurrences(text: str, b: Bootstrap) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, int]]]:
+    """``base_spans`` and ``occurrences`` of a text."""
     others = addresses(text)
     if not others and not _DIGIT.search(text) and "@" not in text:
-        return []
+        return [], []
     seeds, out = base_spans(text), []
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = np.array([s for s, _ in words])
@@ -208,7 +213,7 @@ def occurrences(text: str, b: Bootstrap) -> list[tuple[int, int, int, int, int]]
             if sum(c in "0123456789" for c in text[part:end]) < b.digits or any(x < end and part < y for x, y in taken[max(0, at - 1) : at + 4]):
                 continue
             entry(part, end, ANY)
-    return out
+    return seeds, out
 
 
 class Followers:
@@ -254,13 +259,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def confident_patterns(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
+def confident_patterns(docs: DataFrame, b: Bootstrap = Bootstrap(), begun: DataFrame | None = None) -> DataFrame:
     """``(pattern, kind, confidence)`` of the patterns that speak for a kind.
 
     Seeds have score 1 for their kind. A pattern's confidence is the share of what follows it that is believed to be of
     the kind; an instance's belief is that of its best pattern. Both are scored in turn over the graph of distinct
     pattern-instance links, so copies of a text add nothing; instances that are believed induce patterns of their own.
-    Of other words that follow a pattern, over all texts, each distinct one counts once too.
+    Of other words that follow a pattern, over all texts, each distinct one counts once too. ``begun`` are the occurrences
+    ``(pattern, instance, kind, word)`` of all texts, if they are known already.
     """
     def seen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
@@ -272,7 +278,9 @@ def confident_patterns(docs: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["pattern", "instance", "kind", "word"])
 
     texts = _texts(docs)
-    begun = staged(texts.mapInArrow(seen, "pattern long, instance long, kind int, word long").distinct(), "begun")
+    if begun is None:
+        begun = texts.mapInArrow(seen, "pattern long, instance long, kind int, word long")
+    begun = staged(begun.distinct(), "begun")
     links = staged(begun.select("pattern", "instance", "kind").distinct(), "links")
     # only patterns before several distinct identifiers can reach the support
     words_begun = begun.select("pattern", "word").distinct()
@@ -323,22 +331,25 @@ def spans_of(docs: DataFrame, b: Bootstrap = Bootstrap(), row: F.Column | None =
     A null or empty text has no spans. Rows are told apart by ``row``, numbered here if not given, so repeated ids do no harm; an empty table gives
     an empty result. Found spans overlap no fixed form.
     """
-    patterns = confident_patterns(docs, b)
     number = F.monotonically_increasing_id() if row is None else row
     rows = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-    open_kind = pa.struct([("pattern", pa.int64()), ("code", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+    entry = pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("word", pa.int64()), ("code", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batches_in):
-            base, other = [], []
+            base, marks = [], []
             for text in batch.column(2).to_pylist():
-                base.append([{"kind": k, "start": s, "stop": e} for s, k, e in base_spans(text)])
-                other.append([{"pattern": p, "code": k, "start": s, "stop": e} for s, e, k, p, _ in occurrences(text, b) if k < 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(other, pa.list_(open_kind))], ["row", "doc_id", "base", "other"])
-
-    found = staged(rows.mapInArrow(run, f"row long, doc_id long, base {SPANS}, other array<struct<pattern:bigint,code:int,start:int,stop:int>>"), "spans")
-    named = found.select("row", F.explode("other").alias("o")).select("row", F.col("o.pattern").alias("pattern"), F.col("o.code").alias("code"), F.col("o.start").alias("start"), F.col("o.stop").alias("stop"))
+                seeds, found = seeds_and_occurrences(text, b)
+                base.append([{"kind": k, "start": s, "stop": e} for s, k, e in seeds])
+                marks.append([{"pattern": p, "instance": i, "word": _word_at(text, s), "code": k, "start": s, "stop": e} for s, e, k, p, i in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(marks, pa.list_(entry))], ["row", "doc_id", "base", "marks"])
+
+    # one pass over the texts finds the fixed forms and the occurrences that patterns are learnt from and applied to
+    found = staged(rows.mapInArrow(run, f"row long, doc_id long, base {SPANS}, marks array<struct<pattern:bigint,instance:bigint,word:bigint,code:int,start:int,stop:int>>"), "spans")
+    marks = found.select("row", F.explode("marks").alias("m")).select("row", "m.*")
+    patterns = confident_patterns(docs, b, marks.select("pattern", "instance", F.col("code").alias("kind"), "word"))
+    named = marks.where("code < 0").select("row", "pattern", "code", "start", "stop")
     added = named.join(patterns, "pattern").where(fits(F.col("code"), F.col("kind"))).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("found"))  # within a document
     return found.join(added, "row", "left").select("doc_id", "row", "base", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
