@@ -119,3 +119,31 @@ def test_next_event_by_key(spark, clip):
         mine = sorted(e for k, e in events if k == r.k and e)
         later = [e for e in mine if e >= r.on]
         assert r.due == (later[0] if later else mine[-1] if clip and mine else None)
+
+
+def shuffled_bytes(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_outlier_factors_shuffle_no_lists_of_neighbours(spark):
+    """Some 2 KB a row are shuffled for fifty neighbours, not an entry for each of them and each number of neighbours."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(6000, 3))], "a double, b double, c double")
+    before = shuffled_bytes(spark)
+    assert neighbours.outlier_factors(rows, XS, (10, 20, 50)).where("lof_10 > 0 AND lof_20 > 0 AND lof_50 > 0").count() == 6000
+    taken = (shuffled_bytes(spark) - before) / 6000
+    print(f"{taken:.0f} bytes a row")
+    assert 100 < taken < 4000
+
+
+def test_few_rows_in_a_cell_look_at_near_cells_only(spark, monkeypatch):
+    """A cell of fewer rows than are wanted takes its bound from the boxes of others, not all rows as guests."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 32)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.repeat(np.arange(40.0), 50) + rng.normal(size=2000) / 100, [100.0, 101.0, 102.0]])
+    points = spark.createDataFrame([(i, 1, float(v)) for i, v in enumerate(np.sort(x))], "id long, n long, a double")
+    found = neighbours.neighbourhoods(points, ("a",), 11)
+    assert found.where("near IS NOT NULL").count() == len(x) and found.where("near IS NULL").count() < len(x)

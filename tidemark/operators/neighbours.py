@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 from operator import add
 
 import numpy as np
@@ -23,8 +24,10 @@ from tidemark.sources.staging import staged
 
 #: Rows that shape the partition, the most cells it has, and the rows of a cell that are aimed at below that.
 SAMPLE, MOST_CELLS, CELL_ROWS = 20_000, 4096, 256
-#: Distances that a task holds at once, and the rows that look for neighbours in one cell at once.
+#: Distances that a task holds at once, and the rows that look for neighbours at once.
 PAIRS, GUESTS = 1 << 21, 1 << 14
+#: Pieces of a cell, a power of two, that tell which rows of others it has to know.
+PIECES = 16
 #: Keeps a density finite where all neighbours are copies.
 LEAST_REACH = 1e-10
 
@@ -87,7 +90,7 @@ def total(terms: list[Column]) -> Column:
 def _closest(guests: np.ndarray, ids: np.ndarray, x: np.ndarray, want: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each guest the ``want`` rows of ``x`` within its bound, by distance and id: guests, rows, squared distances."""
     found = []
-    for low in range(0, len(guests), step := max(1, PAIRS // max(1, len(x)))):
+    for low in range(0, len(guests), step := max(1, min(GUESTS, PAIRS // max(1, len(x))))):
         part = guests[low : low + step]
         far = np.zeros((len(part), len(x)))
         for axis in range(x.shape[1]):
@@ -106,74 +109,126 @@ def _closest(guests: np.ndarray, ids: np.ndarray, x: np.ndarray, want: int, boun
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
 
 
-_NEAR = pa.struct([("d2", pa.float64()), ("id", pa.int64()), ("n", pa.int64())])
-NEAR = "array<struct<d2:double,id:long,n:long>>"
+def _matrix(rows: pa.Table, xs: tuple[str, ...]) -> np.ndarray:
+    return np.column_stack([rows.column(x).to_numpy() for x in xs])
 
 
-def _lists(n_guests: int, who: np.ndarray, ids: np.ndarray, times: np.ndarray, d2: np.ndarray) -> pa.Array:
-    offsets = np.append(0, np.cumsum(np.bincount(who, minlength=n_guests))).astype(np.int32)
-    entries = pa.StructArray.from_arrays([pa.array(d2, pa.float64()), pa.array(ids, pa.int64()), pa.array(times, pa.int64())], fields=list(_NEAR))
-    return pa.ListArray.from_arrays(pa.array(offsets), entries)
+def _square_gaps(low: np.ndarray, high: np.ndarray, to_low: np.ndarray, to_high: np.ndarray) -> np.ndarray:
+    """Squared distances of the boxes ``low, high`` to the boxes ``to_low, to_high``, rows by columns; 0 where they meet."""
+    gap2 = np.zeros((len(low), len(to_low)))
+    for axis in range(low.shape[1]):
+        gap = np.maximum(np.maximum(to_low[None, :, axis] - high[:, axis, None], low[:, axis, None] - to_high[None, :, axis]), 0)
+        gap2 += gap * gap
+    return gap2
 
 
-def _matrix(rows: pa.Table, xs: tuple[str, ...]) -> np.ndarray:
-    return np.column_stack([rows.column(x).to_numpy() for x in xs])
+def _pieces(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One of PIECES even pieces of a cell for each of its rows, cut at medians of the widest axis, the bound being one."""
+    held, piece = np.column_stack([x, np.sqrt(np.minimum(bounds, np.finfo(float).max))]), np.zeros(len(x), np.int32)
+    for _ in range(PIECES.bit_length() - 1):
+        piece *= 2
+        for p in np.unique(piece):
+            at = np.flatnonzero(piece == p)
+            axis = np.ptp(held[at], axis=0).argmax()
+            piece[at[np.argsort(held[at, axis], kind="stable")[len(at) // 2 + len(at) % 2 :]]] += 1
+    return piece
 
 
-def nearest(points: DataFrame, xs: tuple[str, ...], k: int) -> DataFrame:
-    """``id, near``: the ``k`` nearest of ``points(id, n, *xs)``, each being ``n`` equal rows, and the point itself.
+def neighbourhoods(points: DataFrame, xs: tuple[str, ...], want: int) -> DataFrame:
+    """``id, n, *xs, cell, near``: ``points(id, n, *xs)``, each being ``n`` equal rows, with their nearest ones, and the guests
+    that a cell's rows are near to, where ``near`` is null.
 
-    ``near`` holds ``(d2, id, n)`` by squared distance and id: as many points as have over ``k`` rows, at most ``k + 1``.
-    Exact: a cell is left out only if its box is farther than ``k + 1`` rows that are known.
+    ``near`` holds places in the list of the cell's own rows by id and then its guests by id. They come by distance and id, the
+    point itself among them: as many points as have ``want`` rows. Exact: a cell's rows bound how far they have to look, and
+    all rows of other cells within that distance of a piece of the cell are its guests. Lists stay where they are made.
     """
-    want = k + 1
     count = points.count()
-    partition = partition_of(points, xs, -(-count // CELL_ROWS))
-    rows = staged(in_cells(points, xs, partition))
-    boxes = boxes_of(rows, xs).collect()  # MOST_CELLS rows at most
-    numbers = np.array([b["cell"] for b in boxes], np.int32)
-    low, high = (np.array([[b[f"{x}_{end}"] for x in xs] for b in boxes], float).reshape(-1, len(xs)) for end in ("lo", "hi"))
+    rows = staged(in_cells(points, xs, partition_of(points, xs, -(-count // max(CELL_ROWS, 2 * want)))))
+    boxes = boxes_of(rows, xs, held=F.sum("n")).where(F.col("held") >= want).collect()  # MOST_CELLS rows at most
+    full = [np.array([[b[f"{x}_{end}"] for x in xs] for b in boxes], float).reshape(-1, len(xs)) for end in ("lo", "hi")]
     columns = ", ".join(f"{x} double" for x in xs)
 
     def at_home(cell: pa.Table) -> pa.Table:
         x, ids, times = _matrix(cell, xs), cell.column("id").to_numpy(), cell.column("n").to_numpy()
+        bounds = np.full(len(x), np.inf)
+        for low in range(0, len(x) if len(boxes) else 0, step := max(1, PAIRS // max(1, len(boxes)))):
+            part = x[low : low + step]
+            far = np.zeros((len(part), len(boxes)))
+            for axis in range(len(xs)):
+                gap = np.maximum(full[1][None, :, axis] - part[:, axis, None], part[:, axis, None] - full[0][None, :, axis])
+                far += gap * gap
+            bounds[low : low + step] = far.min(axis=1)  # a box of as many rows as are wanted lies within
         who, which, d2 = _closest(x, ids, x, want, np.full(len(x), np.inf))
         held = np.cumsum(times[which])
         starts = np.searchsorted(who, np.arange(len(x)))
         before = held[starts] - times[which[starts]]
-        enough = held - before[who] >= want  # from here on a guest knows as many rows as it wants
-        bounds = np.full(len(x), np.inf)
+        enough = held - before[who] >= want  # from here on a point knows as many rows as it wants
         np.minimum.at(bounds, who[enough], d2[enough])
-        return pa.Table.from_arrays([cell.column("id"), cell.column("cell"), *[cell.column(c) for c in xs], pa.array(bounds), _lists(len(x), who, ids[which], times[which], d2)], ["id", "cell", *xs, "bound", "near"])
+        return pa.Table.from_arrays([*[cell.column(c) for c in ("id", "n", *xs, "cell")], pa.array(bounds), pa.array(_pieces(x, bounds))], ["id", "n", *xs, "cell", "bound", "piece"])
 
-    known = staged(rows.groupBy("cell").applyInArrow(at_home, f"id long, cell int, {columns}, bound double, near {NEAR}"))
+    known = staged(rows.groupBy("cell").applyInArrow(at_home, f"id long, n long, {columns}, cell int, bound double, piece int"))
+    pieces = boxes_of(known, xs, "piece", bound=F.max("bound")).collect()  # MOST_CELLS * PIECES rows at most
+    home, reach2 = np.array([b["cell"] for b in pieces], np.int32), np.array([b["bound"] for b in pieces], float)
+    low, high = (np.array([[b[f"{x}_{end}"] for x in xs] for b in pieces], float).reshape(-1, len(xs)) for end in ("lo", "hi"))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, step := max(1, PAIRS // max(1, len(numbers)))):
-                part = batch.slice(at, step)
-                x = np.column_stack([part.column(c).to_numpy() for c in xs])
-                gap2 = np.zeros((len(x), len(numbers)))
-                for axis in range(len(xs)):
-                    gap = np.maximum(np.maximum(low[None, :, axis] - x[:, axis, None], x[:, axis, None] - high[None, :, axis]), 0)
-                    gap2 += gap * gap
-                who, box = np.nonzero((gap2 <= part.column("bound").to_numpy()[:, None]) & (numbers[None, :] != part.column("cell").to_numpy()[:, None]))
-                there = part.take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([there.column("id"), pa.array(numbers[box]), *[there.column(c) for c in xs], there.column("bound")], ["id", "cell", *xs, "bound"])
-
-    guests = staged(known.drop("near").mapInArrow(routed, f"id long, cell int, {columns}, bound double"))
-    parts = F.broadcast(guests.groupBy("cell").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("parts")))  # MOST_CELLS rows at most
-    guests = guests.join(parts, "cell").withColumn("part", F.pmod(F.col("id"), F.col("parts")).cast("int")).drop("parts")
-    hosts = rows.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def abroad(guests: pa.Table, hosts: pa.Table) -> pa.Table:
-        ids, times = hosts.column("id").to_numpy(), hosts.column("n").to_numpy()
-        who, which, d2 = _closest(_matrix(guests, xs), ids, _matrix(hosts, xs), want, guests.column("bound").to_numpy())
-        return pa.Table.from_arrays([guests.column("id").combine_chunks(), _lists(guests.num_rows, who, ids[which], times[which], d2)], ["id", "near"])
-
-    further = guests.groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part")).applyInArrow(abroad, f"id long, near {NEAR}")
-    lists = known.select("id", "near").unionByName(further).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    return lists.select("id", F.slice("near", 1, want).alias("near"))
+        for batch in filter(len, batches):
+            x, cell = np.column_stack([batch.column(c).to_numpy() for c in xs]), batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for begin, end in pairwise(cuts):  # rows of one cell
+                there = x[begin:end]
+                near = np.flatnonzero((_square_gaps(there.min(axis=0)[None], there.max(axis=0)[None], low, high)[0] <= reach2) & (home != cell[begin]))
+                for at in range(0, len(there) if len(near) else 0, step := max(1, PAIRS // max(1, len(near)))):
+                    part = there[at : at + step]
+                    who, which = np.nonzero(_square_gaps(part, part, low[near], high[near]) <= reach2[near])
+                    visits = np.unique((who << 32) | home[near[which]])
+                    guests = batch.take(pa.array(begin + at + (visits >> 32)))
+                    yield pa.RecordBatch.from_arrays([*[guests.column(c) for c in ("id", "n", *xs)], pa.array((visits & 0xFFFFFFFF).astype(np.int32))], ["id", "n", *xs, "cell"])
+
+    guests = known.mapInArrow(routed, f"id long, n long, {columns}, cell int")
+
+    def among(cell: pa.Table) -> pa.Table:
+        cell, n_own = _in_place(cell, "piece")
+        x, ids, times = _matrix(cell, xs), cell.column("id").to_numpy(), cell.column("n").to_numpy()
+        piece, bounds = (cell.column(c).slice(0, n_own).to_numpy() for c in ("piece", "bound"))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for p in np.unique(piece):
+            own = np.flatnonzero(piece == p)
+            at = np.flatnonzero(_square_gaps(x[own].min(axis=0)[None], x[own].max(axis=0)[None], x, x)[0] <= bounds[own].max())
+            who, which, _ = _closest(x[own], ids[at], x[at], want, bounds[own])
+            found.append((own[who], at[which]))
+        who, which = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.argsort(who, kind="stable")
+        who, which = who[order], which[order]
+        keep = _before(who, times[which]) < want
+        who, which = who[keep], which[keep]
+        used = np.concatenate((np.ones(n_own, bool), np.zeros(len(ids) - n_own, bool)))
+        used[which] = True
+        kept = cell.filter(pa.array(used)).select(["id", "n", *xs, "cell"])
+        ends = np.cumsum(np.bincount(who, minlength=n_own))
+        return kept.append_column("near", _lists(ends, (np.cumsum(used) - 1)[which].astype(np.int32), kept.num_rows))
+
+    met = known.unionByName(guests, allowMissingColumns=True).groupBy("cell")
+    return staged(met.applyInArrow(among, f"id long, n long, {columns}, cell int, near array<int>"))
+
+
+def _in_place(cell: pa.Table, own: str) -> tuple[pa.Table, int]:
+    """A cell's own rows by id, then its guests by id, and the number of the former, those that have ``own``."""
+    guest = cell.column(own).is_null()
+    order = np.lexsort((cell.column("id").to_numpy(), guest.to_numpy()))
+    return cell.take(pa.array(order)), cell.num_rows - int(guest.to_numpy().sum())
+
+
+def _before(who: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Rows of the entries of the same ``who`` that come earlier."""
+    held = np.cumsum(times) - times
+    return held - held[np.searchsorted(who, who)]
+
+
+def _lists(ends: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """``n`` lists that end at ``ends``; null beyond those."""
+    offsets = np.concatenate(([0], ends, np.full(n - len(ends), ends[-1] if len(ends) else 0))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(np.arange(n) >= len(ends)))
 
 
 def outlier_factors(rows: DataFrame, xs: tuple[str, ...], ks: tuple[int, ...] = (20,)) -> DataFrame:
@@ -183,26 +238,76 @@ def outlier_factors(rows: DataFrame, xs: tuple[str, ...], ks: tuple[int, ...] =
     density is one over the mean reach; the factor is the mean density of its neighbours over its own. Ties at the
     ``k``-th distance go to the smaller values. Equal rows are one point with a count, so that many copies cost nothing;
     a row that lacks a value has no factor, nor has the only row of a table.
+
+    A cell's lists are places in its own rows and guests; what is shuffled is a few numbers for each guest, not for each
+    neighbour.
     """
     whole = F.lit(True)
     for x in xs:
         whole &= F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     points = rows.where(whole).groupBy(*xs).agg(F.count("*").alias("n")).orderBy(*xs)
     points = staged(points.withColumn("id", F.monotonically_increasing_id()))  # ids ascend with the values
-    lists = staged(nearest(points, xs, max(ks)))
-    entries = lists.select(F.col("id").alias("own"), F.posexplode("near").alias("pos", "e")).select("own", "pos", "e.*")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("own").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    entries = entries.withColumn("before", before)
-    for k in ks:
-        near = entries.withColumn("w", F.least(F.col("n"), k + 1 - F.col("before"))).where("w > 0")
-        near = staged(near.select("own", "id", F.sqrt("d2").alias("d"), (F.col("w") - F.when(F.col("own") == F.col("id"), 1).otherwise(0)).alias("w")))
-        reach = near.groupBy(F.col("own").alias("id")).agg(F.max("d").alias("reach"))
-        density = near.join(reach, "id").groupBy("own").agg(F.sum(F.col("w") * F.greatest("reach", "d")).alias("s"), F.sum("w").alias("k"))
-        density = staged(density.where("k > 0").select("own", "k", (1 / (F.col("s") / F.col("k") + LEAST_REACH)).alias("density")))
-        others = near.join(density.select(F.col("own").alias("id"), F.col("density").alias("theirs")), "id").groupBy("own").agg(F.sum(F.col("w") * F.col("theirs")).alias("s"))
-        factor = density.join(others, "own").select(F.col("own").alias("id"), (F.col("s") / F.col("k") / F.col("density")).alias(f"lof_{k}"))
-        points = points.join(factor, "id", "left")
-    return rows.join(points.drop("id", "n"), list(xs), "left")
+    near = neighbourhoods(points, xs, max(ks) + 1)
+    columns = ", ".join(f"{x} double" for x in xs)
+
+    def entries(cell: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The cell in place, its own rows, who is near whom, and how many rows each entry stands for by ``k``, the point's own row aside."""
+        cell, n_own = _in_place(cell, "near")
+        lists = cell.column("near").slice(0, n_own).combine_chunks()
+        who, which = np.repeat(np.arange(n_own), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        times = cell.column("n").to_numpy()[which]
+        before = _before(who, times)
+        return cell, n_own, who, which, [np.clip(k + 1 - before, 0, times) - (who == which) for k in ks]
+
+    def apart(cell: pa.Table, who: np.ndarray, which: np.ndarray) -> np.ndarray:
+        x = _matrix(cell, xs)
+        d2 = np.zeros(len(who))
+        for axis in range(len(xs)):
+            gap = x[who, axis] - x[which, axis]
+            d2 += gap * gap
+        return np.sqrt(d2)
+
+    def numbers(values: list[np.ndarray], n: int) -> pa.Array:
+        """For each own row an array of a number for each ``k``."""
+        return _lists(np.arange(1, len(values[0]) + 1) * len(ks), np.column_stack(values).ravel(), n)
+
+    def told(cell: pa.Table, name: str) -> np.ndarray:
+        return cell.column(name).combine_chunks().flatten().to_numpy().reshape(-1, len(ks))
+
+    def reaches(cell: pa.Table) -> pa.Table:
+        cell, n_own, who, which, weights = entries(cell)
+        d, out = apart(cell, who, which), []
+        for w in weights:
+            reach = np.zeros(n_own)
+            np.maximum.at(reach, who[w > 0], d[w > 0])
+            out.append(reach)
+        return cell.append_column("reach", numbers(out, cell.num_rows))
+
+    def densities(cell: pa.Table) -> pa.Table:
+        cell, n_own, who, which, weights = entries(cell)
+        d, reach, out = apart(cell, who, which), told(cell, "reach"), []
+        for i, w in enumerate(weights):
+            total, k = (np.bincount(who, v, n_own) for v in (w * np.maximum(reach[which, i], d), w))
+            out.append(np.where(k > 0, 1 / (total / np.maximum(k, 1) + LEAST_REACH), np.nan))
+        return cell.select(["id", "n", "cell", "near"]).append_column("density", numbers(out, cell.num_rows))
+
+    def factors(cell: pa.Table) -> pa.Table:
+        cell, n_own, who, which, weights = entries(cell)
+        density, out = told(cell, "density"), []
+        for i, w in enumerate(weights):
+            total, k = (np.bincount(who, v, n_own) for v in (w * density[which, i], w))
+            out.append(pa.array(total / np.maximum(k, 1) / density[:n_own, i], mask=k == 0))
+        return pa.Table.from_arrays([cell.column("id").slice(0, n_own), *out], ["id", *[f"lof_{k}" for k in ks]])
+
+    def shared(found: DataFrame, value: str) -> DataFrame:
+        """Guests with the ``value`` that their own cell found, beside the rows of each cell."""
+        own, guests = found.where("near IS NOT NULL"), found.where("near IS NULL").drop(value)
+        return own.unionByName(guests.join(own.select("id", value), "id")).groupBy("cell")
+
+    found = staged(near.groupBy("cell").applyInArrow(reaches, f"id long, n long, {columns}, cell int, near array<int>, reach array<double>"))
+    found = staged(shared(found, "reach").applyInArrow(densities, "id long, n long, cell int, near array<int>, density array<double>"))
+    factor = shared(found, "density").applyInArrow(factors, "id long, " + ", ".join(f"lof_{k} double" for k in ks))
+    return rows.join(points.join(factor, "id", "left").drop("id", "n"), list(xs), "left")
 
 
 def nearest_pattern(rows: DataFrame, x: str = "ret_1d", n: int = 10, apart: int = 5, least: int = 20, segments: int = 5) -> DataFrame:

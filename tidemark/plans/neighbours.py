@@ -11,6 +11,7 @@ from tidemark.plans.rounding import OFF_TIES
 from tidemark.plans.rounding import round_off_ties_sql as round_sql
 from tidemark.plans.rounding import rounded_off_ties as rounded
 from tidemark.sources.bars import BARS_SQL, daily_bars
+from tidemark.sources.staging import staged
 
 WEEKLY = ("ret", "span", "volume", "n_trades", "delivery")
 CUSTOMER = ("balance", "n_orders", "mean_price", "max_price")
@@ -48,7 +49,7 @@ def customer_outlier_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey"))
     orders = orders.agg(F.count("*").cast("double").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"))
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_acctbal").alias("balance")).join(orders, "c_custkey", "left").fillna(0.0)
-    return rounded(neighbours.outlier_factors(standard(rows, *CUSTOMER), CUSTOMER, KS).select("c_custkey", *FACTORS), *FACTORS, digits=5)
+    return rounded(neighbours.outlier_factors(standard(staged(rows), *CUSTOMER), CUSTOMER, KS).select("c_custkey", *FACTORS), *FACTORS, digits=5)
 
 
 def nearest_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
